@@ -1,18 +1,370 @@
-"""Queries of the library's own operators and their SQL."""
+"""Queries of the library's own operators over whole tables, and the same in SQL.
+
+What the tables don't hold (formulas, units) is given as literal rows, equal in both.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..functions import text as T
+from ..operators import corpus, html_tree, knowledge, linearize, patterns, quantity, tokenize
+from ..session import ship, table
+from ..sources.sinks import category_lines, occurrence_json
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+# Fixed values for SQL: white space and word punctuation in RE2's spelling
+WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WORD = rf"[.,:;!?)(\[\]{{}}\-”“]|[^{WS}.,:;!?)(\[\]{{}}\-”“]+"
+
+MATH = '<html><body><p>It is 5 <math><semantics><mi mathvariant="normal">m</mi></semantics></math> long, or <math><semantics><mrow><mn>3</mn><mtext> </mtext><msup><mi mathvariant="normal">s</mi><mrow><mo>-</mo><mn>2</mn></mrow></msup></mrow></semantics></math>.</p></body></html>'
+FORMULA = '<math class="ltx_Math"><semantics><mrow><mi>x</mi><mo>∈</mo><mi>X</mi></mrow><annotation-xml><apply><in/><ci>x</ci><ci>X</ci></apply></annotation-xml></semantics></math>'
+_NODE_ROWS = [(1, 0, None, 0, "math", ["ltx_Math"], None), (1, 1, 0, 0, "semantics", [], None), (1, 2, 1, 0, "mrow", [], None), (1, 3, 2, 0, "mi", [], "x"), (1, 4, 2, 1, "mo", [], "∈"), (1, 5, 2, 2, "mi", [], "X"), (1, 6, 1, 1, "apply", [], None), (1, 7, 6, 0, "ci", [], "x"), (1, 8, 6, 1, "ci", [], "X"), (2, 0, None, 0, "math", [], None), (2, 1, 0, 0, "semantics", [], None), (2, 2, 1, 0, "mrow", [], None), (2, 3, 2, 0, "mi", [], "y"), (2, 4, 2, 1, "mo", [], "="), (2, 5, 2, 2, "mi", [], "z"), (2, 6, 2, 3, "mi", [], "w")]
+_NODE_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in (d, n, p, c, t, x)) + ")" for d, n, p, c, t, _, x in _NODE_ROWS) + ") n(doc_id, node_id, parent_id, child_pos, tag, text)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
 
+# ---- words and sentences
 
+
+@query(f"SELECT doc_id, (generate_subscripts(w, 1) - 1)::INT AS word_no, unnest(w) AS word FROM (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS w FROM documents)")
+def q_word_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.word_table(table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS n_words FROM documents")
 def q_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each document, with punctuation as words of its own."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.regexp_count("text", F.lit(r"[.,:;!?)(\[\]{}\-”“]|[^\t-\r\x1c-\x20\x85\xa0  -     　.,:;!?)(\[\]{}\-”“]+")).cast("long").alias("n_words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(T.WORD)).cast("long").alias("n_words"))
 
 
-QUERIES = {"q_word_counts": q_word_counts}
-ORACLES: dict[str, str] = {}
+_ENDS = r"""
+    WITH c AS (SELECT doc_id, string_split(text, '') AS l FROM documents),
+    p AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM c),
+    e AS (SELECT doc_id, l, i FROM p WHERE list_contains(['.', '!', '?'], l[i])
+          AND NOT coalesce(l[i] = '.' AND upper(l[i+1]) <> l[i+1] AND lower(l[i+1]) = l[i+1], false)
+          AND NOT coalesce(l[i] = '.' AND i > 1 AND regexp_full_match(l[i-1], '\p{Nd}') AND regexp_full_match(l[i+1], '\p{Nd}'), false)
+          AND NOT coalesce(list_contains([chr(160), ',', '.', ':', ';'], l[i+1]), false)),
+    s AS (SELECT doc_id, i, regexp_replace(regexp_replace(array_to_string(l[coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), 0) + 1 : i], ''), '^[WS]+|[WS]+$', '', 'g'), '[WS]+', ' ', 'g') AS sentence FROM e)
+""".replace("WS", WS)
+
+
+@query(_ENDS + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS sent_no, sentence FROM s WHERE sentence <> ''")
+def q_sentence_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.sentence_table(table(spark, sf_dir, "documents"))
+
+
+@query(_ENDS + "SELECT d.doc_id, count(s.i)::BIGINT AS n_sentences, coalesce(sum(length(sentence)), 0)::BIGINT AS n_chars FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id AND sentence <> '' GROUP BY d.doc_id")
+def q_sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g') AS stripped FROM documents")
+def q_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip(F.col("text")).alias("stripped"))
+
+
+@query(f"SELECT conv_id, turn, regexp_replace(text, '[{WS}]+', ' ', 'g') AS normal FROM conversations")
+def q_normalize_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_spaces(F.col("text")).alias("normal"))
+
+
+# ---- selection, scores, lookups
+
+
+@query("SELECT page_id FROM pages WHERE contains(html, 'class=\"ad\"')")
+def q_contains_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.containing(table(spark, sf_dir, "pages"), 'class="ad"').select("page_id")
+
+
+@query("SELECT count(*) AS processed, count(*) FILTER (contains(text, 'token')) AS found FROM documents")
+def q_selection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.selection_counts(table(spark, sf_dir, "documents"), "token", "text")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 42")
+def q_one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.one_document(table(spark, sf_dir, "documents"), 42).select("doc_id", "lang", "n_chars")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, 'MathNode|[1-9]'))::INT AS n FROM documents")
+def q_candidate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(quantity.candidates(F.col("text"))).alias("n"))
+
+
+@query(r"SELECT doc_id, rtrim(r, '.')::DOUBLE AS value, NOT contains(r, '.') AS is_int FROM (SELECT doc_id, regexp_extract(w, '^[0-9][0-9.]*') AS r FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]\S*')) AS w FROM documents)) WHERE length(r) - length(replace(r, '.', '')) <= 1")
+def q_read_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]\S*"), F.lit(0))).alias("w"))
+    return w.select("doc_id", T.leading_number(F.col("w")).alias("n")).where("n is not null").select("doc_id", "n.value", "n.is_int")
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array("source", "lang")).alias("pos", "cat"))
+
+
+@query("SELECT doc_id, source || ', ' || lang AS cats FROM documents")
+def q_doc_to_cats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.doc_to_cats(_edges(spark, sf_dir)).select("doc_id", F.array_join("cats", ", ").alias("cats"))
+
+
+@query("SELECT cat, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM (SELECT doc_id, unnest([source, lang]) AS cat FROM documents) GROUP BY cat")
+def q_cat_to_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.cat_to_docs(_edges(spark, sf_dir)).select("cat", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
+
+
+@query("SELECT doc_id::VARCHAR || ': ' || source || ', ' || lang AS value FROM documents")
+def q_category_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return category_lines(corpus.doc_to_cats(_edges(spark, sf_dir)).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def _severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("toxic") == 1, "error").when(F.col("quality") == 0, "warning").otherwise("no-problem")
+    labels = table(spark, sf_dir, "labels").select("doc_id", level.alias("level"))
+    return labels.union(labels.where("doc_id % 3 = 0").select("doc_id", F.lit("warning")))
+
+
+_SEVERITIES = "WITH l AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'error' WHEN quality = 0 THEN 'warning' ELSE 'no-problem' END AS level FROM labels), v AS (SELECT * FROM l UNION ALL SELECT doc_id, 'warning' FROM l WHERE doc_id % 3 = 0), s AS (SELECT doc_id, arg_min(level, list_position(['no-problem', 'warning', 'error'], level)) AS level FROM v GROUP BY doc_id) "
+
+
+@query(_SEVERITIES + "SELECT doc_id, level FROM s")
+def q_severity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.severity_of(_severities(spark, sf_dir))
+
+
+@query(_SEVERITIES + "SELECT doc_id, lang FROM documents JOIN s USING (doc_id) WHERE level <> 'error'")
+def q_severity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    return corpus.without_errors(known, _severities(spark, sf_dir)).select("doc_id", "lang")
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.regexp_count("text", F.lit("[0-9]+")).alias("ninter"), F.col("n_chars").alias("ntext"), F.col("doc_id").alias("line_no"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) * sqrt(n_chars) AS score, doc_id AS line_no FROM documents ORDER BY score DESC, doc_id LIMIT 5")
+def q_relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.ranked(_counts(spark, sf_dir), 5)
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def q_metadata_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[^0-9]*([0-9]{4})', 1) AS yymm, replace(regexp_replace(url, '\\.html$', ''), '/', '') AS id FROM pages")
+def q_document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(T.year_month(F.col("url")), F.lit("")).alias("yymm"), T.normal_id(F.col("url")).alias("id"))
+
+
+# ---- trees
+
+
+@query("""
+    WITH b AS (SELECT page_id, regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g') AS h FROM pages)
+    SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM b) GROUP BY ALL""")
+def q_html_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = html_tree.nodes(table(ship(spark), sf_dir, "pages"))
+    return nodes.where(F.col("tag") != html_tree.COMMENT).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def q_xpath_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.nodes(table(ship(spark), sf_dir, "pages")).select("page_id", "node_id", "xpath")
+
+
+@query("SELECT page_id, replace(replace(replace(unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS header FROM pages")
+def q_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.nodes(table(ship(spark), sf_dir, "pages")).where("in_header").select("page_id", F.col("text").alias("header"))
+
+
+@query("""
+    WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS t FROM pages)
+    SELECT page_id, count(DISTINCT href)::INT AS n_href, count(DISTINCT t) AS n_text, count(DISTINCT CASE WHEN href = '/' || t THEN href END)::INT AS n_same FROM a GROUP BY page_id""")
+def q_features_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = html_tree.nodes(table(ship(spark), sf_dir, "pages")).where("tag = 'a'").select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href"), "text")
+    g = a.groupBy("page_id").agg(F.collect_set("href").alias("h"), F.count_distinct("text").alias("n_text"), F.collect_set(F.when(F.col("href") == F.concat(F.lit("/"), "text"), F.col("href"))).alias("s"))
+    return g.select("page_id", F.size("h").alias("n_href"), "n_text", F.size(F.array_intersect("h", "s")).alias("n_same"))
+
+
+@query()
+def q_linearize_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linearize.linearize(table(ship(spark), sf_dir, "pages"))
+
+
+@query()
+def q_linearize_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linearize.tokens(table(ship(spark), sf_dir, "pages"), rules=linearize.EMPTY_RULES)
+
+
+@query()
+def q_markup_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.markup_sentences(table(ship(spark), sf_dir, "pages")).select("page_id", "sent_no", "string")
+
+
+@query()
+def q_tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tokenize.sentence_table(table(ship(spark), sf_dir, "documents")).withColumn("words", T.words(F.col("sentence")))
+    return s.select("doc_id", "sent_no", tokenize.tag_words(F.col("words")).alias("tags"))
+
+
+@query()
+def q_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bracket around the first word of each page's article."""
+    pages = table(ship(spark), sf_dir, "pages")
+    edits = pages.select("page_id", F.posexplode(F.array(F.lit("<b>[</b>"), F.lit("<i>]</i>"))).alias("seq", "markup")).withColumn("pos", F.col("seq")).withColumn("after", F.col("seq") == 1)
+    return linearize.insert_markup(pages, edits)
+
+
+# ---- patterns
+
+
+def _nodes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_NODE_ROWS, "doc_id int, node_id int, parent_id int, child_pos int, tag string, classes array<string>, text string")
+
+
+@query(f"WITH n AS (SELECT * FROM {_NODE_SQL}) SELECT m.doc_id, m.node_id AS root, c.node_id AS identifier FROM n m JOIN n s ON s.doc_id = m.doc_id AND s.parent_id = m.node_id AND s.tag = 'semantics' JOIN n a ON a.doc_id = s.doc_id AND a.parent_id = s.node_id AND a.tag = 'apply' JOIN n c ON c.doc_id = a.doc_id AND c.parent_id = a.node_id AND c.tag = 'ci' WHERE m.tag = 'math'")
+def q_match_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = patterns.tag
+    return patterns.lower_path(_nodes(spark), tag("math") / tag("semantics") / tag("apply") / tag("ci") ** "identifier")
+
+
+@query(f"WITH n AS (SELECT * FROM {_NODE_SQL}) SELECT r.doc_id, r.node_id AS root, a.node_id AS lhs, b.node_id AS rhs FROM n r JOIN n a ON a.doc_id = r.doc_id AND a.parent_id = r.node_id AND a.child_pos = 0 AND a.tag = 'mi' JOIN n o ON o.doc_id = r.doc_id AND o.parent_id = r.node_id AND o.child_pos = 1 AND o.tag = 'mo' JOIN n b ON b.doc_id = r.doc_id AND b.parent_id = r.node_id AND b.child_pos = 2 AND b.tag = 'mi' WHERE r.tag = 'mrow' AND NOT EXISTS (SELECT 1 FROM n x WHERE x.doc_id = r.doc_id AND x.parent_id = r.node_id AND x.child_pos >= 3)")
+def q_match_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = patterns.tag
+    return patterns.lower_path(_nodes(spark), tag("mrow") / patterns.seq(tag("mi") ** "lhs", tag("mo"), tag("mi") ** "rhs"))
+
+
+def _formulas(spark: SparkSession) -> DataFrame:
+    return ship(spark).createDataFrame([(1, FORMULA)], "doc_id int, html string")
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'a', 'x'), (1, 1, 'a', 'X'), (1, 2, 'b', 'x'), (1, 3, 'b', 'X')) t(doc_id, match_no, label, text)")
+def q_match_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = patterns.tag
+    p = tag("math") / tag("semantics") / (tag("annotation-xml") | tag("mrow")) / (tag("apply") / tag("ci") ** "a" | tag("mi") ** "b")
+    m = patterns.match_nodes(_formulas(spark), p, "math", id_col="doc_id", xml=True).select("doc_id", "match_no", F.explode("labels").alias("l")).select("doc_id", "l.label", "l.text")
+    order = F.when(F.col("label") == "a", 0).otherwise(2) + F.when(F.col("text") == "x", 0).otherwise(1)
+    return m.select("doc_id", order.alias("match_no"), "label", "text")
+
+
+@query("SELECT * FROM (VALUES (1, 'mo'), (1, 'rest')) t(doc_id, label)")
+def q_match_maybe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag, seq, maybe = patterns.tag, patterns.seq, patterns.maybe
+    p = tag("mrow") / seq(tag("mi"), maybe(tag("mo") ** "mo"), maybe(tag("mtext") ** "none"), tag("mi") ** "rest")
+    m = patterns.match_nodes(_formulas(spark), p, "mrow", id_col="doc_id", xml=True)
+    return m.select("doc_id", F.explode("labels").alias("l")).select("doc_id", "l.label").where("label <> 'root'")
+
+
+# ---- units and quantities
+
+
+@query("SELECT * FROM (VALUES ('-12', '⁻¹²'), ('7', '⁷'), ('305', '³⁰⁵')) t(n, s)")
+def q_superscript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(-12,), (7,), (305,)], "n int").select(F.col("n").cast("string").alias("n"), T.superscript(F.col("n")).alias("s"))
+
+
+@query("SELECT * FROM (VALUES (1, 'T⁻²L¹'), (2, '1'), (3, 'M¹Θ⁻¹')) t(id, dimension)")
+def q_dimension_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, {"L": 1, "T": -2}), (2, {}), (3, {"M": 1, "Θ": -1, "J": 0})], "id int, e map<string,int>")
+    return rows.select("id", T.dimension_string(F.col("e")).alias("dimension"))
+
+
+_UNIT_ROWS = [("http://x/Q1", "metre", "", "http://x/A", "1", "http://x/Q1", "m", "meter❙metres"), ("http://x/Q2", "kilometre", "", "http://x/A❙http://x/Z", "1000", "http://x/Q1", "km", "km❙kilometer"), ("http://x/Q3", "second", "", "http://x/B", "1", "http://x/Q3", "s", "sec"), ("http://x/Q4", "metre per second squared", "", "http://x/C", "1", "http://x/Q4", "m/s²", "")]
+
+
+def _units(spark: SparkSession) -> DataFrame:
+    raw = ship(spark).createDataFrame(_UNIT_ROWS, "unit string, unitLabel string, x string, quantities string, SIamounts string, SIunit string, notations string, altLabels string")
+    dims = spark.createDataFrame([("A", "L¹"), ("B", "T¹"), ("C", "T⁻²L¹")], "id string, dimension string")
+    return knowledge.unit_table(raw, dims)
+
+
+@query("SELECT * FROM (VALUES (0, 'metre', 'L¹', 'metre', 1.0::DOUBLE), (1, 'kilometre', 'L¹', 'metre', 1000.0), (2, 'second', 'T¹', 'second', 1.0), (3, 'metre per second squared', 'T⁻²L¹', 'metre per second squared', 1.0)) t(unit_id, label, dimension, si_label, factor)")
+def q_si_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.link_si(_units(spark)).select("unit_id", "label", "dimension", "si_label", "factor")
+
+
+@query("SELECT * FROM (VALUES ('metre', 'Q1'), ('meter', 'Q1'), ('metres', 'Q1'), ('kilometre', 'Q2'), ('kilometer', 'Q2'), ('second', 'Q3'), ('metre per second squared', 'Q4')) t(label, ids)")
+def q_label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.label_index(_units(spark)).select("label", F.array_join("ids", ",").alias("ids"))
+
+
+@query("""SELECT * FROM (VALUES (0, '[[["i", {"val": "m"}, []], 1]]'), (1, '[[["i", {"val": "km"}, []], 1]]'), (2, '[[["i", {"val": "s"}, []], 1]]'), (3, '[[["i", {"val": "m"}, []], 1], [["i", {"val": "s"}, []], -2]]')) t(unit_id, notation)""")
+def q_unit_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.notation_index(_units(spark)).select("unit_id", "notation")
+
+
+def _finds(spark: SparkSession) -> DataFrame:
+    docs = ship(spark).createDataFrame([(1, MATH)], "doc_id int, html string")
+    return quantity.spot(docs)
+
+
+@query("SELECT * FROM (VALUES (1, 5.0::DOUBLE, 'known'), (1, 3.0, 'unknown')) t(doc_id, amount, state)")
+def q_notation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finds, index = _finds(spark), knowledge.notation_index(_units(spark))
+    hit = knowledge.resolve(finds, index).select("doc_id", F.col("scalar.value").alias("amount"), F.lit("known").alias("state"))
+    return hit.union(knowledge.unresolved(finds, index).select("doc_id", F.col("scalar.value"), F.lit("unknown")))
+
+
+@query("SELECT '1' AS doc, 3 AS certainty, 0 AS unit_id, 5.0::DOUBLE AS amount, 48 AS flags, true AS has_no_quantity")
+def q_occurrence_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = quantity.occurrences(_finds(spark), knowledge.notation_index(_units(spark)))
+    j = o.select(occurrence_json(o).alias("j"))
+    field = lambda name, kind: F.get_json_object("j", f"$.{name}").cast(kind)
+    return j.select(field("arxivid", "string").alias("doc"), field("certainty", "int").alias("certainty"), field("unit_id", "int").alias("unit_id"), field("amount_val", "double").alias("amount"), field("amount_notation", "int").alias("flags"), (~F.contains("j", F.lit("quantity\":["))).alias("has_no_quantity"))
+
+
+_DIMS = [("a", "L¹", []), ("b", None, ["a"]), ("c", None, ["b", "a"]), ("d", None, ["e"]), ("e", None, ["d"]), ("f", "T¹", ["a"])]
+
+
+@query("""
+    WITH RECURSIVE q(id, dimension, p) AS (VALUES ('a', 'L¹', NULL), ('b', NULL, 'a'), ('c', NULL, 'b'), ('d', NULL, 'e'), ('e', NULL, 'd'), ('f', 'T¹', 'a')),
+    r(id, dimension) AS (SELECT id, dimension FROM q WHERE dimension IS NOT NULL UNION SELECT q.id, r.dimension FROM q JOIN r ON q.p = r.id WHERE q.dimension IS NULL)
+    SELECT q.id, r.dimension FROM q LEFT JOIN r USING (id)""")
+def q_dim_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.inherited(spark.createDataFrame(_DIMS, "id string, dimension string, parents array<string>"))
+
+
+@query("SELECT n_regionkey, string_agg(DISTINCT n_name, '❙' ORDER BY n_name) AS values FROM nation GROUP BY n_regionkey")
+def q_group_concat_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.grouped_values(table(spark, sf_dir, "nation"), "n_regionkey", "n_name")
+
+
+@query("SELECT unnest(['a', 'b', 'c']) AS id")
+def q_subclasses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    triples = spark.createDataFrame([("b", "subclass", "a"), ("c", "subclass", "b"), ("a", "subclass", "c"), ("d", "other", "a")], "subj string, pred string, obj string")
+    return knowledge.subclasses(triples, "a")
+
+
+@query("SELECT * FROM (VALUES (1.5, '1500 ms'), (5.0, '5.0 s'), (90.0, '90 s'), (300.0, '5.0 m'), (4000.0, '66 m'), (10000.0, '2.8 h'), (40000.0, '11 h')) t(s, shown)".replace("(1.5,", "(1.5::DOUBLE,"))
+def q_format_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in (1.5, 5.0, 90.0, 300.0, 4000.0, 10000.0, 40000.0)], "s double").select("s", T.format_seconds(F.col("s")).alias("shown"))
+
+
+@query("SELECT 1 AS id, '3.0 km ≈ 3000.0 metre' AS note UNION ALL SELECT 2, '2.0 bar'")
+def q_conversion_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, 3.0, "km", 1000.0, "metre"), (2, 2.0, "bar", None, None)], "id int, v double, l string, f double, s string")
+    return rows.select("id", quantity.conversion_note(F.col("v"), F.col("l"), F.col("f"), F.col("s")).alias("note"))
+
+
+@query("SELECT 1 AS id, 'kg m per square s' AS words")
+def q_unit_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xml = '<mrow><mi xref="k">kg</mi><mi xref="m">m</mi><msup><mi xref="s">s</mi><mrow><mo>-</mo><mn>2</mn></mrow></msup></mrow>'
+
+    def words(markup):
+        m = next(patterns.matches(quantity.unit, html_tree.parse_xml(markup)))
+        return quantity.unit_words(patterns.label_tree(m), {"k": "kg", "m": "m", "s": "s"})
+
+    return ship(spark).createDataFrame([(1, xml)], "id int, x string").select("id", F.udf(words)("x").alias("words"))
