@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import shared_dir, stored
+from .runtime import partitions, shared_dir, stored
 
 ROLL = 8 << 20
 # The field lists of the two ARC versions
@@ -44,15 +44,17 @@ def gzip_member(data: bytes) -> bytes:
 
 def members(data: bytes):
     """(offset, content) of each gzip member."""
-    at = 0
-    view = memoryview(data)
+    at, view, step = 0, memoryview(data), 1 << 14
     while at < len(data):
         z = zlib.decompressobj(31)
-        content = z.decompress(view[at:])
-        if not z.eof:
-            raise ValueError(f"cut gzip member at {at}")
-        yield at, content
-        at = len(data) - len(z.unused_data)
+        parts, end = [], at
+        while not z.eof:
+            if end >= len(data):
+                raise ValueError(f"cut gzip member at {at}")
+            parts.append(z.decompress(view[end : end + step]))
+            end = min(len(data), end + step)
+        yield at, b"".join(parts)
+        at = end - len(z.unused_data)
 
 
 class Rolling:
@@ -94,6 +96,11 @@ class Rolling:
         return path
 
 
+def by_file(rows: DataFrame) -> DataFrame:
+    """Rows with the files they name spread over tasks; rows are tiny, so their number of tasks is fixed here and not by size."""
+    return rows.repartition(2 * partitions(rows.sparkSession), "path")
+
+
 def read_file(folder: str, path: str) -> bytes:
     fs, _ = pafs.FileSystem.from_uri(folder)
     with fs.open_input_stream(path) as f:
@@ -187,7 +194,7 @@ def arc_records(manifest: DataFrame, folder: str) -> DataFrame:
                     rows.append((path, at, int(fields["X-Page-Id"]) if "X-Page-Id" in fields else None, len(payload), hashlib.sha1(payload).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["path", "at", "page_id", "payload_bytes", "payload_sha1"])
 
-    return manifest.select("path").repartition("path").mapInArrow(run, "path string, at long, page_id long, payload_bytes long, payload_sha1 string")
+    return by_file(manifest.select("path")).mapInArrow(run, "path string, at long, page_id long, payload_bytes long, payload_sha1 string")
 
 
 # ---- WARC
@@ -264,7 +271,7 @@ def convert(manifest: DataFrame, folder: str, *, revisit_from: int = 1000) -> Da
         if n:
             yield pa.RecordBatch.from_pydict({"path": [out.close()], "records": [n]})
 
-    return stored(plan.repartition("path").sortWithinPartitions("path", "at").mapInArrow(run, "path string, records long"), "warc-manifest")
+    return stored(by_file(plan).sortWithinPartitions("path", "at").mapInArrow(run, "path string, records long"), "warc-manifest")
 
 
 def parse_warc(data: bytes):
@@ -305,7 +312,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, "page_id long, record_id string, url string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long")
+    return by_file(manifest.select("path")).mapInArrow(run, "page_id long, record_id string, url string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long")
 
 
 def archive_round_trip(pages: DataFrame, *, version: int = 1, revisit_from: int = 1000, **columns) -> DataFrame:
