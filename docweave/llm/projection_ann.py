@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import groups_of
-from .runtime import stored
+from .runtime import partitions, stored
 
 PROJECTED = 12
 LEAF = 64
@@ -222,7 +222,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
 
     def found(asked: DataFrame) -> DataFrame:
         both = data.unionByName(asked)
-        return both.repartition("cell", "shard").sortWithinPartitions("cell", "shard", "kind").mapInArrow(search, "query_id long, id long, score double")
+        return both.repartition(partitions(spark), "cell", "shard").sortWithinPartitions("cell", "shard", "kind").mapInArrow(search, "query_id long, id long, score double")
 
     def at_shards(df: DataFrame) -> DataFrame:
         return df.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1))).select("cell", F.col("shard").cast("int"), F.lit(1).alias("kind"), "id", "v", "kth")
