@@ -3,7 +3,8 @@
 Vectors are projected by a fixed Gaussian (2-stable) matrix to ``PROJECTED`` dimensions.  A kd-tree over a bounded
 sample of projections cuts the space into cells; every row is indexed in its cell, crowded cells are salted into shards,
 and each shard has a kd-tree of its own with leaves of ``LEAF`` rows.  A query first searches its own cell.  With the
-distance of its k-th neighbour there, other cells are visited only while the stopping test fails for them.  In a shard,
+distance of its k-th neighbour so far, other cells follow in order of their projected distance, twice as many each round,
+while the stopping test fails for them; only what is nearer than that neighbour is returned.  In a shard,
 leaves are taken in order of their projected distance and verified with exact inner products in double precision until
 the test holds: for a point at the k-th distance, squared projected over squared true distance follows a chi-square law,
 so once its distribution function at (bound / k-th distance) squared passes ``confidence``, a nearer point would have
@@ -217,7 +218,9 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
                 q, names = x[a : a + 256], ids[a : a + 256]
                 scale = largest / np.linalg.norm(q, axis=1)
                 best, named = shard.search(names, q, scale, as_query(q, largest) @ project, k, np.where(np.isnan(kth[a : a + 256]), np.inf, kth[a : a + 256]), confidence)
-                real = np.isfinite(best)
+                # what is farther than the k already known isn't needed
+                limit = kth[a : a + 256]
+                real = np.isfinite(best) & (np.isnan(limit)[:, None] | (2 * largest**2 - 2 * best * scale[:, None] <= (limit * (1 + 1e-9))[:, None]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, real.sum(1))), pa.array(named[real]), pa.array(best[real])], names=["query_id", "id", "score"])
 
     def found(asked: DataFrame) -> DataFrame:
@@ -227,27 +230,42 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     def at_shards(df: DataFrame) -> DataFrame:
         return df.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1))).select("cell", F.col("shard").cast("int"), F.lit(1).alias("kind"), "id", "v", "kth")
 
-    first = stored(found(at_shards(queries.select(F.col("home").alias("cell"), "id", "v", none.cast("double").alias("kth")))), "first-cell")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    reached = first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("reached"))
-    asked = queries.select("id", "v", "home").join(reached, "id", "left")
+    def route(begin: int, end: int):
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, home = _vectors(batch.column("v")), batch.column("home").to_numpy()
+                reach = batch.column("reached").to_numpy(zero_copy_only=False).astype(np.float64)
+                scale = largest / np.linalg.norm(x, axis=1)
+                kth = np.where(np.isnan(reach), np.inf, np.maximum(2 * largest**2 - 2 * reach * scale, 1e-300))
+                bound = box_distance2(as_query(x, largest) @ project, cells.low, cells.high)
+                bound[np.arange(len(x)), home] = -1
+                cell = np.argsort(bound, axis=1, kind="stable")[:, begin:end]
+                go = chi_square(np.maximum(np.take_along_axis(bound, cell, 1), 0) / kth[:, None]) < confidence
+                who, at = np.nonzero(go)
+                cell = cell[who, at]
+                for a in range(0, len(who), 4096):
+                    rows = pa.array(who[a : a + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 4096], pa.int32()), batch.column("id").take(rows), batch.column("v").take(rows), pa.array(kth[who[a : a + 4096]])], names=["cell", "id", "v", "kth"])
+
+        return run
 
-    def route(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, home = _vectors(batch.column("v")), batch.column("home").to_numpy()
-            reach = batch.column("reached").to_numpy(zero_copy_only=False).astype(np.float64)
-            scale = largest / np.linalg.norm(x, axis=1)
-            kth = np.where(np.isnan(reach), np.inf, np.maximum(2 * largest**2 - 2 * reach * scale, 1e-300))
-            bound = box_distance2(as_query(x, largest) @ project, cells.low, cells.high)
-            go = chi_square(bound / kth[:, None]) < confidence
-            go[np.arange(len(x)), home] = False
-            who, cell = np.nonzero(go)
-            for a in range(0, len(who), 4096):
-                at = pa.array(who[a : a + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 4096], pa.int32()), batch.column("id").take(at), batch.column("v").take(at), pa.array(kth[who[a : a + 4096]])], names=["cell", "id", "v", "kth"])
-
-    more = found(at_shards(asked.mapInArrow(route, "cell int, id long, v array<double>, kth double")))
-    ranked = first.union(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    asked = queries.select(F.col("home").alias("cell"), "id", "v", none.cast("double").alias("kth"))
+    best, begin = None, 1
+    while True:
+        new = found(at_shards(asked))
+        ranked = (new if best is None else best.union(new)).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+        best = stored(ranked.select("query_id", "id", "score", "rank"), "nearest", spill=False)
+        reached = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("reached"))
+        best = best.drop("rank")
+        if begin >= len(cells.low):
+            break
+        # twice as many cells each round: what is left to improve halves, so rows go with k log(cells) a query
+        end = 2 * begin + 1
+        asked = stored(queries.select("id", "v", "home").join(reached, "id", "left").mapInArrow(route(begin, end), "cell int, id long, v array<double>, kth double"), "asked", spill=False)
+        if asked.isEmpty():
+            break
+        begin = end
+    return best.withColumn("rank", F.row_number().over(order).cast("int")).select("query_id", "rank", "id", "score")
