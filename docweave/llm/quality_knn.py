@@ -4,10 +4,10 @@ Terms are byte pairs of the text plus a few terms for repetition (shares of repe
 in steps), so that no language needs a word list.  A truncated SVD over the TF-IDF vectors of a bounded sample of
 labelled texts gives the space; the sample's own vectors, scaled to length one, are broadcast.  For every document the
 exact cosines with all of them are computed in blocks, and the labels of the nearest ``neighbours`` are averaged with
-their similarities as weights.
+their similarities, raised to ``power``, as weights; ``emphasis`` is the weight of the terms for repetition.
 
 What is broadcast has a fixed bound: ``sample`` x ``rank`` floats, a ``terms`` x ``rank`` projection and 65,536 term
-numbers, about 3 MB with the defaults.
+numbers, under 1 MB with the defaults (chosen by ``selection``).
 
 Defined results: null and empty texts score as the share of label 1 in the sample, as do texts without a known term;
 without any usable label every score is 0.5; repeated rows get equal scores; ties between neighbours go to the smaller
@@ -62,8 +62,8 @@ def repetition(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class Space:
-    def __init__(self, texts: list[str], labels: list[int], terms: int, rank: int):
-        self.terms, self.labels = terms, np.array(labels, np.float32)
+    def __init__(self, texts: list[str], labels: list[int], terms: int, rank: int, emphasis: float, power: int):
+        self.terms, self.power, self.labels = terms, power, np.array(labels, np.float32)
         self.base = float(self.labels.mean()) if labels else 0.5
         self.number = np.full(65536, terms, np.int64)
         column = pa.array(texts, pa.large_string())
@@ -78,7 +78,7 @@ class Space:
         self.number[kept] = np.arange(len(kept))
         self.idf = np.ones(terms + 3 * STEPS, np.float32)
         self.idf[: len(kept)] = np.log((1 + len(texts)) / (1 + df[kept])) + 0.2
-        self.idf[terms:] = 9
+        self.idf[terms:] = emphasis
         self.project = None
         if texts:
             x = np.concatenate([self._weigh(buf, offs) for _, _, buf, offs in chunks(*text_buffer(column))])
@@ -105,17 +105,17 @@ class Space:
             cosine = z @ self.vectors.T
             k = min(neighbours, cosine.shape[1])
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.tile(np.arange(k), (b - a, 1))
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** 8
+            weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** self.power
             total = weight.sum(1)
             vote = (weight * self.labels[near]).sum(1)
             out[a:b] = np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.base)
         return np.clip(out, 0, 1)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, terms: int = 1536, rank: int = 64, neighbours: int = 9) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, terms: int = 1536, rank: int = 16, neighbours: int = 3, emphasis: float = 9, power: int = 8) -> DataFrame:
     """docs with a column ``score``: how likely label 1 is.  Labels count where ``usable`` (a predicate on labels) holds."""
     spark = docs.sparkSession
-    space = spark.sparkContext.broadcast(Space(*training_texts(docs, labels, label, usable, sample, id_col, text_col), terms, rank))
+    space = spark.sparkContext.broadcast(Space(*training_texts(docs, labels, label, usable, sample, id_col, text_col), terms, rank, emphasis, power))
     schema = docs.schema
     place = schema.fieldNames().index(text_col)
 

@@ -4,7 +4,7 @@ Words are runs of letters (any byte from 128 counts as one), lower-cased.  Featu
 four and six bytes, so that inflected forms share a coordinate), pairs of neighbours and pairs around one left-out
 word, hashed to ``2**bits`` coordinates; each counts once a text.  Training takes a bounded
 sample of labelled texts, a few passes in a fixed order, with a learning rate per coordinate and an L1 penalty that
-leaves few weights; only those are broadcast (their number is at most the features of the sample).
+leaves few weights (settings chosen by ``selection``); only those are broadcast (their number is at most the features of the sample).
 
 Defined results: null and empty texts score by the bias alone, 0.5 without any usable label; repeated rows get equal
 scores.  Whole texts are read.
@@ -98,10 +98,10 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, passes: int = 6, bits: int = 20) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, passes: int = 4, bits: int = 20, alpha: float = 1.0, l1: float = 10.0) -> DataFrame:
     """docs with a column ``score``: how likely label 1 is.  Labels count where ``usable`` (a predicate on labels) holds."""
     texts, ys = training_texts(docs, labels, label, usable, sample, id_col, text_col)
-    scorer = docs.sparkSession.sparkContext.broadcast(Scorer(Ftrl(bits).fit(texts, ys, passes)))
+    scorer = docs.sparkSession.sparkContext.broadcast(Scorer(Ftrl(bits, alpha, l1=l1).fit(texts, ys, passes)))
     place = docs.schema.fieldNames().index(text_col)
 
     def run(batches):
