@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, chunks, groups_of, mix, shingle_sets, text_buffer
-from .runtime import stored
+from .runtime import small_batches, stored
 
 COORDINATES = 64
 POSTED = 8
@@ -222,6 +222,11 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(id, n_shingles, component_id, kept) for each row of docs: groups of texts whose sets of ``width``-word shingles have at least ``percent`` hundredths in common."""
     s = percent / 100
     matches = int(np.floor(COORDINATES * s - 4.5 * np.sqrt(COORDINATES * s * (1 - s))))
+    with small_batches(docs.sparkSession):
+        return _dedup(docs, id_col, text_col, width, percent, matches)
+
+
+def _dedup(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, matches: int) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = stored(base.mapInArrow(_features(width), "id long, n long, s1 long, s2 long, posts array<long>, sig binary"), "signatures")
     sound = rows.where("id is not null and n > 0")
