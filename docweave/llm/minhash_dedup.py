@@ -9,10 +9,10 @@ Steps, all of them linear in the number of documents:
 3. A list of at most ``LIST`` classes is merged on the spot: collisions are counted over the signature, with skip
    merging (a pair already joined through others isn't counted), and pairs at or above the match threshold are kept
    as a spanning forest.  The threshold lies 4.5 standard deviations below the expected collisions.
-   A longer list is dealt again by its classes' values at six further coordinates (a pair at 0.8 misses all six with
-   probability 6e-5), what is still long then at four more (2e-3).  What is long even after that agrees on three
-   coordinates; it is linked whole, without counting.  These links are candidates only: they decide which classes are
-   compared, not which are equal.  A pair missed in a long list is lost only if no other member of the list joins it.
+   The classes of longer lists, each once, are posted again under ten pairs of further coordinates (a pair at 0.8 shares
+   none with probability 4e-5), those of lists still long under twelve triples (2e-4).  What is long even then agrees on
+   three coordinates; it is linked whole, without counting.  These links are candidates only: they decide which classes
+   are compared, not which are equal.  A pair missed in a long list is lost only if no other member joins it.
 4. Connected candidates are clusters.  Their sets are read again from the texts and every pair inside a cluster is
    tested exactly; large clusters are cut into pairs of blocks.  Only a spanning forest of the true links leaves a task.
 5. Connected components of the true links are the groups.
@@ -36,9 +36,9 @@ from .runtime import small_batches, stored
 COORDINATES = 64
 POSTED = 8
 LIST = 96
-# first coordinate and number of coordinates by which long lists are dealt again, round by round
-REDEALT = ((POSTED, 6), (POSTED + 6, 4), (POSTED + 10, 0))
 BLOCK = 192
+# first coordinate, width and number of bands under which classes of long lists are posted again, round by round
+BANDS = ((POSTED, 2, 10), (POSTED + 20, 3, 12), (0, 0, 0))
 _rng = np.random.Generator(np.random.PCG64(7))
 FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 SHIFTS = _rng.integers(1, 2**63, COORDINATES, dtype=np.int64).astype(U64)
@@ -132,7 +132,7 @@ def _candidates(classes: DataFrame, matches: int) -> DataFrame:
     """Candidate links as pairs of ids."""
     lists = classes.select("id", "sig", F.explode("posts").alias("k"))
     found = []
-    for first, again in REDEALT:
+    for first, width, bands in BANDS:
         counts = lists.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).where("m > 1")
         counted = lists.join(counts, "k")
         short = counted.where(F.col("m") <= LIST)
@@ -140,11 +140,12 @@ def _candidates(classes: DataFrame, matches: int) -> DataFrame:
             short.select("k", "id", "sig").repartition("k").sortWithinPartitions("k").mapInArrow(_merge_lists(matches), "a long, b long")
         )
         long = counted.where(F.col("m") > LIST)
-        if not again:
+        if not bands:
             found.append(long.select(F.col("hub").alias("a"), F.col("id").alias("b")))
             break
-        parts = [F.struct(F.lit(c).alias("c"), F.substring("sig", 2 * c + 1, 2).alias("v")) for c in range(first, first + again)]
-        lists = stored(long.select("id", "sig", "k", F.explode(F.array(*parts)).alias("p")).select("id", "sig", F.xxhash64("k", "p.c", "p.v").alias("k")), "lists", spill=False)
+        keys = [F.xxhash64(F.lit(c), F.substring("sig", 2 * c + 1, 2 * width)) for c in range(first, first + bands * width, width)]
+        again = long.groupBy("id").agg(F.first("sig").alias("sig"))
+        lists = stored(again.select("id", "sig", F.explode(F.array(*keys)).alias("k")), "lists", spill=False)
         if lists.isEmpty():
             break
     out = found[0]
