@@ -1,9 +1,16 @@
-"""A bounded, reproducible sample of labelled texts for fitting."""
+"""A bounded, reproducible sample of labelled texts for fitting, and the pass that scores all texts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .kernels import chunks, text_buffer
 
 
 def remainder(col: str, n: int) -> Column:
@@ -22,3 +29,17 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Colum
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(picked), "_id")
     found = texts.groupBy("_id").agg(F.min("t").alias("t"), F.first("y").alias("y")).orderBy("_id").select("t", "y").toArrow()
     return found.column("t").to_pylist(), found.column("y").to_pylist()
+
+
+def with_scores(docs: DataFrame, text_col: str, score_col: str, scores: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """docs with the scores of their whole texts; a column that has the name already is replaced."""
+    base = docs.drop(score_col)
+    place = base.schema.fieldNames().index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for a, b, buf, offs in chunks(*text_buffer(batch.column(place))):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(buf, offs), pa.float64())], names=[*part.schema.names, score_col])
+
+    return base.mapInArrow(run, StructType([*base.schema.fields, StructField(score_col, DoubleType())]))

@@ -19,6 +19,7 @@ Steps, all of them linear in the number of documents:
 
 Defined results: null or wordless texts have ``n_shingles`` 0 and stand alone; a null id gets a null component and is
 kept; repeated rows (same id, same text) share their component and are all kept if their id is the component's.
+An id that comes with different texts counts as one document: the groups of its texts are joined.
 Very long texts are held one at a time.  Extra columns are ignored.
 """
 

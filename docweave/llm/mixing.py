@@ -7,7 +7,7 @@ broadcasts them only below its threshold, otherwise it joins by source and split
 
 Defined results: null texts have size 0; a null source is a source of its own, last in order; a source without words has
 target 0 and none of its rows is taken; null ids are hashed by their text; repeated rows share one decision; an empty
-table gives an empty result.
+table gives an empty result; extra columns stay, but ``mix_sources`` replaces those named like its results.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import fresh, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,21 +45,34 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     return s.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """docs with ``size``, ``source_size``, ``target`` (its source's), ``copies`` and ``taken`` (= size x copies)."""
-    sized = docs.withColumn("size", word_count(text_col))
-    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
+RESULTS = ("size", "source_size", "target", "copies", "taken")
+
+
+def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> tuple[DataFrame, dict[str, str]]:
+    """docs with the results under names that docs doesn't have, and those names."""
+    own = {c: fresh(docs.columns, f"_mix_{c}") for c in (*RESULTS, "source", "rate")}
+    sized = docs.withColumn(own["size"], word_count(text_col))
+    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum(own["size"]).alias("source_size"))
     rates = stored(source_targets(sizes, list(weights), share, most), "rates")
-    rates = rates.select(F.col("source").alias("_source"), "source_size", "target", "rate")
+    rates = rates.select(*[F.col(c).alias(own[c]) for c in rates.columns])
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")))
     draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    out = sized.join(rates, F.col(source_col).eqNullSafe(F.col("_source")))
-    copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("int")).withColumn("taken", (F.col("size") * F.col("copies")).cast("long")).drop("_source", "rate")
+    out = sized.join(rates, F.col(source_col).eqNullSafe(F.col(own["source"])))
+    rate = F.col(own["rate"])
+    copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
+    out = out.withColumn(own["copies"], copies.cast("int"))
+    return out.withColumn(own["taken"], (F.col(own["size"]) * F.col(own["copies"])).cast("long")), own
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """docs with ``size``, ``source_size``, ``target`` (its source's), ``copies`` and ``taken`` (= size x copies)."""
+    out, own = _mixed(docs, **options)
+    kept = [c for c in docs.columns if c.lower() not in RESULTS]
+    return out.select(*kept, *[F.col(own[c]).alias(c) for c in RESULTS])
 
 
 def emit_copies(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each row of docs as many times as the mix takes it, columns as in docs."""
-    names = [c for c in docs.columns]
-    mixed = mix_sources(docs, **options).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*names)
+    out, own = _mixed(docs, **options)
+    taken = out.where(F.col(own["copies"]) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), own["copies"])).alias(fresh(docs.columns, "_copy"))).select(*docs.columns)

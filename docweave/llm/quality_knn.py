@@ -11,7 +11,7 @@ numbers, under 1 MB with the defaults (chosen by ``selection``).
 
 Defined results: null and empty texts score as the share of label 1 in the sample, as do texts without a known term;
 without any usable label every score is 0.5; repeated rows get equal scores; ties between neighbours go to the smaller
-place in the sample.  Whole texts are read.
+place in the sample.  Whole texts are read.  Extra columns stay; one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from .kernels import RangeHash, chunks, text_buffer, word_ranges
-from .labelled import training_texts
+from .labelled import training_texts, with_scores
 
 STEPS = 12
 
@@ -112,18 +111,8 @@ class Space:
         return np.clip(out, 0, 1)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, terms: int = 1536, rank: int = 16, neighbours: int = 3, emphasis: float = 9, power: int = 8) -> DataFrame:
-    """docs with a column ``score``: how likely label 1 is.  Labels count where ``usable`` (a predicate on labels) holds."""
-    spark = docs.sparkSession
-    space = spark.sparkContext.broadcast(Space(*training_texts(docs, labels, label, usable, sample, id_col, text_col), terms, rank, emphasis, power))
-    schema = docs.schema
-    place = schema.fieldNames().index(text_col)
-
-    def run(batches):
-        for batch in batches:
-            for a, b, buf, offs in chunks(*text_buffer(batch.column(place))):
-                part = batch.slice(a, b - a)
-                score = pa.array(space.value.scores(buf, offs, neighbours), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, score], names=[*part.schema.names, "score"])
-
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+def quality_scores(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", sample: int = 3000, terms: int = 1536, rank: int = 16, neighbours: int = 3, emphasis: float = 9, power: int = 8) -> DataFrame:
+    """docs with a column ``score_col``: how likely label 1 is.  Labels count where ``usable`` (a predicate on labels) holds."""
+    texts, ys = training_texts(docs, labels, label, usable, sample, id_col, text_col)
+    space = docs.sparkSession.sparkContext.broadcast(Space(texts, ys, terms, rank, emphasis, power))
+    return with_scores(docs, text_col, score_col, lambda buf, offs: space.value.scores(buf, offs, neighbours))

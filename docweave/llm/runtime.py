@@ -52,3 +52,11 @@ def partitions(spark: SparkSession) -> int:
 
 def pieces(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
+
+
+def fresh(columns: list[str], stem: str) -> str:
+    """The stem, lengthened until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

@@ -280,5 +280,6 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[SEC
 
     out = docs.mapInArrow(run, docs.schema)
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+        kind = docs.schema[length_col].dataType
+        out = out.withColumn(length_col, F.coalesce(F.length(text_col).cast(kind), F.col(length_col)))
     return out

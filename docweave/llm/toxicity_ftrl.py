@@ -15,10 +15,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from .kernels import BASE, LOWER, U64, RangeHash, chunks, mix, text_buffer, word_ranges
-from .labelled import training_texts
+from .labelled import training_texts, with_scores
 
 NO_LETTER = np.ones(256, bool)
 NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -98,17 +97,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, passes: int = 4, bits: int = 20, alpha: float = 1.0, l1: float = 10.0) -> DataFrame:
-    """docs with a column ``score``: how likely label 1 is.  Labels count where ``usable`` (a predicate on labels) holds."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", sample: int = 6000, passes: int = 4, bits: int = 20, alpha: float = 1.0, l1: float = 10.0) -> DataFrame:
+    """docs with a column ``score_col``: how likely label 1 is.  Labels count where ``usable`` (a predicate on labels) holds."""
     texts, ys = training_texts(docs, labels, label, usable, sample, id_col, text_col)
     scorer = docs.sparkSession.sparkContext.broadcast(Scorer(Ftrl(bits, alpha, l1=l1).fit(texts, ys, passes)))
-    place = docs.schema.fieldNames().index(text_col)
-
-    def run(batches):
-        for batch in batches:
-            for a, b, buf, offs in chunks(*text_buffer(batch.column(place))):
-                part = batch.slice(a, b - a)
-                score = pa.array(scorer.value.scores(buf, offs), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, score], names=[*part.schema.names, "score"])
-
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return with_scores(docs, text_col, score_col, lambda buf, offs: scorer.value.scores(buf, offs))

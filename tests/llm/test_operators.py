@@ -217,6 +217,30 @@ def test_classifier_cases(docs, none, spark, scorer, label):
             assert len(s) == n and all(0 <= x <= 1 for x in s)
 
 
+def test_clashing_columns(docs, none, spark, monkeypatch):
+    import corpus_pipeline
+
+    clashing = docs.withColumns({"Rate": F.lit("r"), "target": F.lit("t"), "source_size": F.lit(1), "copies": F.lit("c"), "_mix_rate": F.lit(2), "_copy": F.lit(3)})
+    plain = docs.drop("size")
+    results = ["doc_id", "text", "size", "source_size", "target", "copies", "taken"]
+    assert sorted(map(str, mix_sources(clashing).select(results).collect())) == sorted(map(str, mix_sources(plain).select(results).collect()))
+    copies = emit_copies(clashing).collect()
+    assert emit_copies(clashing).columns == clashing.columns and len(copies) == emit_copies(plain).count()
+    assert all(r["size"] == 9 and r["copies"] == "c" and r["_copy"] == 3 for r in copies)
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (10, 0, 1, "y")], "doc_id long, quality int, toxic int, text string")
+    for scorer in (quality_scores, toxicity_scores):
+        a, b = (sorted((str(r["doc_id"]), r["score"]) for r in scorer(d, labels, F.lit(True)).collect()) for d in (docs.withColumnRenamed("score", "Score"), docs.drop("score")))
+        assert len(a) == len(ROWS) and all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-9 for x, y in zip(a, b))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels)
+    kept = corpus_pipeline.quality_classifier(spark, docs, "")
+    assert kept.columns == docs.columns and all(r["score"] == 9.0 for r in kept.collect())
+
+
+def test_redaction_keeps_lengths_of_null_texts(spark):
+    t = spark.createDataFrame([(1, None, 0), (2, "é", 7)], "doc_id long, text string, n_chars long")
+    assert {(r["doc_id"], r["n_chars"]) for r in redact_secrets(t).collect()} == {(1, 0), (2, 1)}
+
+
 def test_held_out_quality_and_toxicity(spark):
     rows, labels = [], []
     for i in range(600):
