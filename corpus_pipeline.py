@@ -13,15 +13,16 @@ from docweave.llm.minhash_dedup import minhash_dedup
 from docweave.llm.mixing import emit_copies
 from docweave.llm.packing import pack
 from docweave.llm.quality_knn import quality_scores
-from docweave.llm.runtime import stored
+from docweave.llm.runtime import fresh, stored
 from docweave.llm.secret_scan import redact_secrets
 from docweave.session import ship, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below 0.3 go.  Scores by similarity to labelled documents of the input."""
-    scored = quality_scores(docs, table(ship(spark), sf_dir, "labels"), F.lit(True))
-    return scored.where("score >= 0.3").drop("score")
+    score = fresh(docs.columns, "score")
+    scored = quality_scores(docs, table(ship(spark), sf_dir, "labels"), F.lit(True), score_col=score)
+    return scored.where(F.col(score) >= 0.3).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
