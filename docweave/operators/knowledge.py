@@ -183,6 +183,11 @@ def label_index(units: DataFrame) -> DataFrame:
     return every.groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def find_units(labels: DataFrame, index: DataFrame) -> DataFrame:
+    """(label, ids) for each row of labels; an unknown label has no ids."""
+    return labels.join(index, "label", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+
+
 def notation_index(units: DataFrame) -> DataFrame:
     """(notation, unit_id): parsed notations, each with the first unit that has it."""
     parse = F.udf(lambda s: unit_json(parse_unit(s)))

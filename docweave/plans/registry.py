@@ -5,13 +5,16 @@ What the tables don't hold (formulas, units) is given as literal rows, equal in
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus, html_tree, knowledge, linearize, patterns, quantity, tokenize
-from ..session import ship, table
+from ..session import shared_dir, ship, table
 from ..sources.sinks import category_lines, occurrence_json
+from ..streaming.documents import drain, table_stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,9 +47,24 @@ def q_word_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.word_table(table(spark, sf_dir, "documents"))
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS n_words FROM documents")
+_COUNTS = f"SELECT doc_id, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS n_words FROM documents"
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.regexp_count("text", F.lit(T.WORD)).cast("long").alias("n_words"))
+
+
+@query(_COUNTS)
 def q_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(T.WORD)).cast("long").alias("n_words"))
+    return _word_counts(table(spark, sf_dir, "documents"))
+
+
+@query(_COUNTS)
+def q_stream_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream of the table's files."""
+    place = f"{shared_dir(spark)}/docweave-stream-{uuid.uuid4().hex}"
+    arriving = table_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    return drain(_word_counts(arriving), f"{place}/table", f"{place}/checkpoint")
 
 
 _ENDS = r"""
@@ -301,6 +319,12 @@ def q_label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.label_index(_units(spark)).select("label", F.array_join("ids", ",").alias("ids"))
 
 
+@query("SELECT * FROM (VALUES ('metre', 'Q1'), ('km', ''), ('parsec', '')) t(label, ids)")
+def q_find_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame([("metre",), ("km",), ("parsec",)], "label string")
+    return knowledge.find_units(wanted, knowledge.label_index(_units(spark))).select("label", F.array_join("ids", ",").alias("ids"))
+
+
 @query("""SELECT * FROM (VALUES (0, '[[["i", {"val": "m"}, []], 1]]'), (1, '[[["i", {"val": "km"}, []], 1]]'), (2, '[[["i", {"val": "s"}, []], 1]]'), (3, '[[["i", {"val": "m"}, []], 1], [["i", {"val": "s"}, []], -2]]')) t(unit_id, notation)""")
 def q_unit_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.notation_index(_units(spark)).select("unit_id", "notation")

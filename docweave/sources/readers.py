@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +38,62 @@ def unzipped(files: DataFrame, suffix: str = "") -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, member string, content binary")
 
 
+def zipped_lines(files: DataFrame, suffix: str = "", single: bool = False) -> DataFrame:
+    """(path, member, line_no, value) of the text members of zip files in rows (path, content).
+
+    A member is read as a stream, so its size isn't bounded by that of a value.  With ``single`` a zip must have exactly one.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    names = [n for n in z.namelist() if n.endswith(suffix) and not n.endswith("/")]
+                    if single and len(names) != 1:
+                        raise MissingData(f"a zip of one member is needed: {path}")
+                    for name in names:
+                        with z.open(name) as f:
+                            lines = (line.rstrip(b"\n").decode("utf-8", "replace") for line in f)
+                            at = 0
+                            while some := list(itertools.islice(lines, 4096)):
+                                yield pa.RecordBatch.from_pydict({"path": [path] * len(some), "member": [name] * len(some), "line_no": range(at, at + len(some)), "value": some})
+                                at += len(some)
+
+    return files.select("path", "content").mapInArrow(run, "path string, member string, line_no long, value string")
+
+
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value) of text files read in parallel; line_no is a struct that orders lines as the files do."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(place.alias("line_no"), "value")
+
+
+def require(spark: SparkSession, base: str, name: str) -> str:
+    """The full path of a file that must be there."""
+    path = f"{base.rstrip('/')}/{name}"
+    if not _exists(spark, path):
+        raise MissingData(f"{path} is missing")
+    return path
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def cached(spark: SparkSession, folder: str | None, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table of that name in a folder of finished results, built and written on first use; without a folder just built.
+
+    A result counts as finished when its success mark is there, so a run that broke off is repeated.
+    """
+    if folder is None:
+        return build()
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _files(spark: SparkSession, base: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(base).select("path", "content")
 
@@ -86,8 +144,8 @@ def document_ids(spark: SparkSession, base: str) -> DataFrame:
 
 def severities(spark: SparkSession, base: str) -> DataFrame:
     """(doc_id, level) from meta/grouped_by_severity.zip."""
-    lines = unzipped(_files(spark, f"{base.rstrip('/')}/meta", "grouped_by_severity.zip"), "-tasks.txt")
-    lines = lines.select(F.regexp_extract("member", r"([^/]*)-tasks\.txt$", 1).alias("level"), F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).select("level", F.trim("line").alias("line")).where("line <> ''")
+    lines = zipped_lines(_files(spark, f"{base.rstrip('/')}/meta", "grouped_by_severity.zip"), "-tasks.txt")
+    lines = lines.select(F.regexp_extract("member", r"([^/]*)-tasks\.txt$", 1).alias("level"), F.trim(F.rtrim(F.col("value"), F.lit("\r"))).alias("line")).where("line <> ''")
     name = F.when(F.col("line").endswith(".html"), F.regexp_replace("line", r"\.html$", "")).otherwise(F.raise_error(F.concat(F.lit("no .html: "), "line")).cast("string"))
     return lines.select(name.alias("doc_id"), "level")
 
@@ -102,11 +160,10 @@ def categories(spark: SparkSession, path: str) -> DataFrame:
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, cats) from JSON lines, plain or as the one member of a zip; of repeated ids the last line counts."""
     if path.endswith(".zip"):
-        members = unzipped(spark.read.format("binaryFile").load(path).select("path", "content"))
-        single = F.when(F.count(F.lit(1)).over(Window.partitionBy("path")) == 1, F.col("content").cast("string")).otherwise(F.raise_error(F.lit("a zip of one member is needed")).cast("string"))
-        lines = members.select(F.posexplode(F.split(single, "\n")).alias("line_no", "value"))
+        members = zipped_lines(spark.read.format("binaryFile").load(path), single=True)
+        lines = members.select(F.struct("path", "line_no").alias("line_no"), "value")
     else:
-        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+        lines = ordered_lines(spark, path)
     rows = lines.where("trim(value) <> ''").select("line_no", F.from_json("value", "id string, categories string").alias("j"))
     last = rows.groupBy(F.col("j.id").alias("doc_id")).agg(F.max_by("j.categories", "line_no").alias("c"))
     return last.select("doc_id", F.filter(F.split(F.trim("c"), r"\s+"), lambda x: x != "").alias("cats"))
@@ -126,15 +183,10 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
 
 def relevance_list(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, nxref, ntext, ninter, nmrow, line_no) of a CSV without header."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "v")).where("trim(v) <> ''")
+    lines = ordered_lines(spark, path).withColumnRenamed("value", "v").where("trim(v) <> ''")
     p = F.split("v", ",")
     return lines.select(p[0].alias("doc_id"), *[F.trim(p[k]).cast("int").alias(n) for k, n in enumerate(("nxref", "ntext", "ninter", "nmrow"), 1)], "line_no")
 
 
 def occurrence_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OCCURRENCES).json(path)
-
-
-def markup_stream(spark: SparkSession, base: str) -> DataFrame:
-    """Documents (path, html) as they arrive in a folder; all per-document operators run on it unchanged."""
-    return spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").load(base).select(F.input_file_name().alias("path"), F.col("value").alias("html"))

@@ -42,3 +42,8 @@ def write_features(features: DataFrame, path: str, id_col: str = "doc_id") -> No
 def write_markup(annotated: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """Annotated documents as a table."""
     annotated.select(id_col, "html_out").write.mode("overwrite").parquet(path)
+
+
+def extract_document(docs: DataFrame, doc_id, path: str, id_col: str = "doc_id", markup_col: str = "html") -> None:
+    """The markup of one document as a text file in a folder."""
+    docs.where(F.col(id_col) == F.lit(doc_id)).select(F.col(markup_col).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -1 +1 @@
-"""See the modules."""
+"""Operators on documents that arrive over time."""

@@ -9,6 +9,7 @@ from docweave.functions import text as T
 from docweave.operators import corpus, quantity
 from docweave.plans import registry
 from docweave.sources import readers, sinks
+from docweave.streaming import documents
 
 
 @pytest.fixture(scope="module")
@@ -75,12 +76,53 @@ def test_functions(spark):
 
 
 def test_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.html").write_text("<h1>x</h1>")
-    q = corpus.containing(readers.markup_stream(spark, str(tmp_path / "in")), "<h1>").writeStream.format("memory").queryName("arrived").start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.table("arrived").count() == 1
+    arriving, out = tmp_path / "in", str(tmp_path / "out")
+    arriving.mkdir()
+    for k, markup in enumerate(("<h1>x</h1>", "<p>none</p>", "<h1>y</h1>"), 1):
+        (arriving / f"{k}.html").write_text(markup)
+        stream = corpus.containing(documents.markup_stream(spark, str(arriving), files=1), "<h1>")
+        got = documents.drain(stream, out, str(tmp_path / "checkpoint")).select("html").collect()
+        assert len(got) == (1, 1, 2)[k - 1]
+
+
+def test_lines_keep_their_order(spark, tmp_path):
+    lines = [json.dumps({"id": f"d{i % 50}", "categories": f"c{i} "}) for i in range(5000)]
+    (tmp_path / "m.jsonl").write_text("\n".join(lines))
+    with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
+        z.writestr("m.jsonl", "\n".join(lines) + "\n")
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.writestr("a", "x")
+        z.writestr("b", "x")
+    want = {f"d{i % 50}": [f"c{i}"] for i in range(4950, 5000)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(str(tmp_path / "m.jsonl")).rdd.getNumPartitions() > 8
+        for name in ("m.jsonl", "m.zip"):
+            assert {r["doc_id"]: r["cats"] for r in readers.metadata(spark, str(tmp_path / name)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(Exception, match="one member"):
+        readers.metadata(spark, str(tmp_path / "two.zip")).collect()
+    (tmp_path / "r.csv").write_text("a,1,4,2,0\n\nb,1,4,2,0\nc,1,9,2,0\na,1,1,1,0\n")
+    assert [(r["doc_id"], r["score"]) for r in corpus.ranked(readers.relevance_list(spark, str(tmp_path / "r.csv"))).collect()] == [("c", 6.0), ("b", 4.0), ("a", 1.0)]
+
+
+def test_cache_and_required_files(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    assert [readers.cached(spark, str(tmp_path), "t", build).count() for _ in range(2)] == [3, 3] and len(built) == 1
+    assert readers.cached(spark, None, "t", build).count() == 3 and len(built) == 2
+    assert readers.require(spark, str(tmp_path), "t.parquet").endswith("t.parquet")
+    with pytest.raises(readers.MissingData):
+        readers.require(spark, str(tmp_path), "absent")
+    docs = spark.createDataFrame([("a", "<p>1</p>"), ("b", "<p>2</p>")], "doc_id string, html string")
+    sinks.extract_document(docs, "b", str(tmp_path / "one"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "one")).collect()] == ["<p>2</p>"]
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
