@@ -12,7 +12,8 @@ the LENGTH - GRAM bytes before it and the LENGTH bytes from it on.
    intervals.  In each, left extensions are compared: occurrences that go on alike to the left by enough bytes are one
    maximal repeat, with all of its occurrences, not just neighbours in the array.  Their spans are kept.
 3. A gram with more than ``CLASSES`` classes isn't brought to one task.  Its contexts are dealt by their windows' hashes
-   instead; a window that two contexts have is repeated.
+   and their offsets from the gram instead; a window that two contexts have at one offset is repeated.  (In periodic
+   text contexts of one gram overlap, and the bytes they share occur once only; but not at the same offset.)
 4. Spans are gathered per document and cut out of the text; strings are judged on the input.
 
 Occurrences in other documents and in the same document count alike, matches never cross documents, and nothing is
@@ -172,7 +173,7 @@ def _interval_spans(batches):
 
 
 def _window_hashes(batches):
-    """One row a window of each context: its hash, the class, and where it starts."""
+    """One row a window of each context: hash of it and its offset, the class, and where it starts."""
     for batch in batches:
         parts = []
         n, k, t, p, g, c = (batch.column(x).to_numpy() for x in ("n", "k", "t", "p", "g", "c"))
@@ -182,7 +183,8 @@ def _window_hashes(batches):
             if len(whole) < LENGTH:
                 continue
             ranges = RangeHash(whole)
-            parts.append((ranges.of(starts, starts + LENGTH).view(np.int64), np.full(len(starts), i), p[i] - len(lhs) + starts))
+            offset = mix((starts - len(lhs)).view(U64))
+            parts.append((mix(ranges.of(starts, starts + LENGTH) ^ offset).view(np.int64), np.full(len(starts), i), p[i] - len(lhs) + starts))
             if len(parts) == 512 or i == len(n) - 1:
                 w, at, lo = (np.concatenate([x[j] for x in parts]) for j in range(3))
                 yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(w), pa.array(c[at]), pa.array(n[at]), pa.array(k[at]), pa.array(t[at]), pa.array(lo.astype(np.int32))], names=["g", "w", "c", "n", "k", "t", "lo"])

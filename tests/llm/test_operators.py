@@ -122,6 +122,14 @@ def test_repeats(docs, none, spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == _plain_cut(hot)
 
 
+def test_periodic_passages_that_many_texts_share(spark):
+    # some 185 bytes with other neighbours each time: grams repeat inside one text, strings of 200 bytes don't
+    rows = [(1000 * k + i, _text(2000 + 500 * k + i, 40) + " " + (w + " ") * (185 // len(w + " ")) + _text(9000 + 500 * k + i, 40)) for k, w in enumerate(("the", "was", "Que", "el", "con"), 1) for i in range(110)]
+    rows += [(500 + i, _text(6000 + i, 60) + " " + "the " * (48 + i) + _text(8000 + i, 60)) for i in range(8)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _plain_cut(rows)
+
+
 def test_repeats_of_a_long_text(spark):
     block = _text(7, 60000)  # over 400 KB, four times in one text that is scanned in pieces
     rows = [(1, block + "|" + block + "||" + block + "|||" + block)]
