@@ -12,8 +12,8 @@ the LENGTH - GRAM bytes before it and the LENGTH bytes from it on.
    intervals.  In each, left extensions are compared: occurrences that go on alike to the left by enough bytes are one
    maximal repeat, with all of its occurrences, not just neighbours in the array.  Their spans are kept.
 3. A gram with more than ``CLASSES`` classes isn't brought to one task.  Its contexts are dealt by their windows' hashes
-   and their offsets from the gram instead; a window that two contexts have at one offset is repeated.  (In periodic
-   text contexts of one gram overlap, and the bytes they share occur once only; but not at the same offset.)
+   instead, only windows whose anchor the gram is there; a window that two contexts have is repeated.  (In periodic
+   text contexts of one gram overlap, but each window has one anchor, so what they share isn't counted twice.)
 4. Spans are gathered per document and cut out of the text; strings are judged on the input.
 
 Occurrences in other documents and in the same document count alike, matches never cross documents, and nothing is
@@ -42,23 +42,27 @@ PIECE = 1 << 20
 POSITION = U64(PIECE - 1)
 
 
+def window_anchors(size: int, ranges: RangeHash) -> np.ndarray:
+    """Position of the anchor of each window of a buffer of at most PIECE bytes."""
+    windows = size - LENGTH + 1
+    low = (ranges.grams(GRAM) & ~POSITION) | np.arange(size - GRAM + 1, dtype=np.uint64)
+    span, width = LENGTH - GRAM + 1, 1
+    while 2 * width <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    return (np.minimum(low[:windows], low[span - width : span - width + windows]) & POSITION).astype(np.int64)
+
+
 def anchors(buf: np.ndarray, offs: np.ndarray, ranges: RangeHash) -> np.ndarray:
     """Positions of all anchors of the texts in a buffer of at most PIECE bytes."""
     windows = len(buf) - LENGTH + 1
     if windows <= 0:
         return np.zeros(0, np.int64)
-    low = (ranges.grams(GRAM) & ~POSITION) | np.arange(len(buf) - GRAM + 1, dtype=np.uint64)
-    span, width = LENGTH - GRAM + 1, 1
-    while 2 * width <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    low = np.minimum(low[:windows], low[span - width : span - width + windows])
     inside = np.zeros(len(buf) + 1, np.int32)
     long = np.diff(offs) >= LENGTH
     np.add.at(inside, offs[:-1][long], 1)
     np.add.at(inside, offs[1:][long] - LENGTH + 1, -1)
-    chosen = (low & POSITION)[np.cumsum(inside)[:windows] > 0].astype(np.int64)
-    return np.unique(chosen)
+    return np.unique(window_anchors(len(buf), ranges)[np.cumsum(inside)[:windows] > 0])
 
 
 def scan(buf: np.ndarray, offs: np.ndarray):
@@ -173,18 +177,17 @@ def _interval_spans(batches):
 
 
 def _window_hashes(batches):
-    """One row a window of each context: hash of it and its offset, the class, and where it starts."""
+    """One row a window of each context whose anchor is the context's: its hash, the class, and where it starts."""
     for batch in batches:
         parts = []
         n, k, t, p, g, c = (batch.column(x).to_numpy() for x in ("n", "k", "t", "p", "g", "c"))
         for i, (lhs, rhs) in enumerate(zip(batch.column("lhs").to_pylist(), batch.column("rhs").to_pylist())):
             whole = np.frombuffer(lhs + rhs, np.uint8)
-            starts = np.arange(0, min(len(lhs), len(whole) - LENGTH) + 1)
             if len(whole) < LENGTH:
                 continue
             ranges = RangeHash(whole)
-            offset = mix((starts - len(lhs)).view(U64))
-            parts.append((mix(ranges.of(starts, starts + LENGTH) ^ offset).view(np.int64), np.full(len(starts), i), p[i] - len(lhs) + starts))
+            starts = np.flatnonzero(window_anchors(len(whole), ranges) == len(lhs))
+            parts.append((ranges.of(starts, starts + LENGTH).view(np.int64), np.full(len(starts), i), p[i] - len(lhs) + starts))
             if len(parts) == 512 or i == len(n) - 1:
                 w, at, lo = (np.concatenate([x[j] for x in parts]) for j in range(3))
                 yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(w), pa.array(c[at]), pa.array(n[at]), pa.array(k[at]), pa.array(t[at]), pa.array(lo.astype(np.int32))], names=["g", "w", "c", "n", "k", "t", "lo"])
