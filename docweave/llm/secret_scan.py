@@ -1,8 +1,17 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are maximal runs of at least ``SHORTEST`` ASCII characters that tokens are made of, with a digit or with
-capitals and small letters mixed.  A forest, trained from labelled findings, decides on length, character transitions,
-coverage by dictionary words, path shape and neighbouring words.  Labelled findings are given by the caller (a bounded
+Candidates are proposed by place alone; what they look like is left to the forest:
+
+* runs of at least ``SHORTEST`` ASCII characters that tokens are made of, of any composition, and the runs that hold
+  them together with ``!@#$%&*:^?``; of a run with an inner '=' every part;
+* of any length from ``SHORTEST_VALUE``: quoted values, values after '=' or ':', the three words after a word that goes
+  with secrets, passwords in addresses.  They may hold any character, those quoted after '=' or ':' blanks too.
+
+Candidates may overlap; redaction replaces the union of those accepted.  Not proposed: bare words below ``SHORTEST``
+characters that no quote, sign or word points at, and the mark of redaction itself.
+
+A forest, trained from labelled findings, decides on length, character transitions, coverage by dictionary words, path
+shape and neighbouring words.  Labelled findings are given by the caller (a bounded
 sample of rows ``before, candidate, after, label``); without them a generated set of usual token formats and usual false
 positives (hashes of commits, identifiers, card numbers, paths, versions, long words) is used.  The forest is some
 10,000 numbers and is broadcast.
@@ -10,11 +19,12 @@ positives (hashes of commits, identifiers, card numbers, paths, versions, long w
 ``find_secrets`` returns every candidate with its score; ``redact_secrets`` replaces those accepted in the texts.
 
 Defined results: null and empty texts have no candidates (redaction leaves null null); repeated rows give repeated
-findings; a run of any length is one candidate.  Whole texts are read.  Offsets are in code points.
+findings; a run without an inner '=' is one candidate at any length.  Whole texts are read.  Offsets are in code points.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -26,23 +36,43 @@ from pyspark.sql import functions as F
 
 from .kernels import chunks, text_buffer, word_ranges
 
-SHORTEST = 12
+SHORTEST = 8
+SHORTEST_VALUE = 2
 CONTEXT = 48
 # Characters of candidates, words that go with secrets, usual starts of issued tokens, words that go with
 # other tokens, a small dictionary
 TOKEN_CHARACTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=.-~"
-SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private", "client_secret", "key")
+SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private", "client_secret", "key", "passphrase", "passcode", "seed")
+STRONG_WORDS = ("password", "passwd", "pwd", "secret", "passphrase", "passcode", "credential", "seed")
+MARK = "[SECRET]"
 KNOWN_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "glpat-", "npm_", "AIza", "eyJ")
 OTHER_WORDS = ("sha1", "sha256", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "etag", "revision", "version", "http", "file", "path", "image", "card", "phone", "order", "build")
 DICTIONARY = frozenset("about access account admin after align android apache archive article asset author backup banner before binary block branch build button cache class client cloud code column common config content control core country data date default delete design detail develop device digital directory document download element engine error event example export family feature field file filter final folder font footer format frame from function general global group handler header hello home html image import index info input install internal java language large latest layer layout left library license line link list load local location login main manager media memory menu message method middle mobile model module monitor name native network news node number object online option order output package page panel parent patch path photo plugin point policy portal post preview private process product profile program project public python query quick reader release remote report request resource response result right root sample schema screen script search section server service session setting shared simple small source spark stage standard static status storage stream string style support switch system table target template test text theme title tool track type update upload user utils value vector version video view web widget window with word work world write".split())
+WORD_STARTS = frozenset(w[:4] for w in DICTIONARY)
 IS_OTHER = np.ones(256, bool)
 IS_OTHER[list(TOKEN_CHARACTERS)] = False
+IS_OUTSIDE = IS_OTHER.copy()
+IS_OUTSIDE[list(b"!@#$%&*:^?")] = False
 KINDS = np.full(128, 4)
 KINDS[48:58], KINDS[65:91], KINDS[97:123] = 0, 1, 2
 _letters = re.compile(r"[a-z]{4,}")
 _hex = re.compile(r"[0-9a-fA-F]+")
 _uuid = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _neighbour = re.compile(r"[A-Za-z0-9_\-]+")
+# what can give a candidate its context: see Detector.scan
+POINTERS = tuple(w.encode() for w in (*SECRET_WORDS, *OTHER_WORDS) if not any(v != w and v in w for v in (*SECRET_WORDS, *OTHER_WORDS)))
+IS_SIGN = np.zeros(256, bool)
+IS_SIGN[list(b"=:\"'`[")] = True
+_secret_word = re.compile(b"(?:" + b"|".join(re.escape(w.encode()) for w in SECRET_WORDS) + rb")[\w\-]*", re.I)
+_secret_words, _other_words = (re.compile("|".join(map(re.escape, words)), re.I | re.A) for words in (SECRET_WORDS, OTHER_WORDS))
+_next_words = re.compile(rb"\s*(\S+)(?:\s+(\S+))?(?:\s+(\S+))?")
+_values = (
+    re.compile(rb"([\"'`])((?:\\\S|(?!\1)[^\s\\])+)\1"),
+    re.compile(rb"[=:]>?[ \t]*([\"'`])((?:\\.|(?!\1)[^\r\n\\])+)\1"),
+    re.compile(rb"()(?<=[=:])>?[ \t]*([^\s\"'`=:]\S*)"),
+    re.compile(rb"()://[^\s:/@]*:([^\s@/]+)@"),
+)
+OPENING, CLOSING = b"\"'`([{<=:,;", b"\"'`)]}>,;.:"
 
 
 class Transitions:
@@ -58,16 +88,15 @@ class Transitions:
 
     @staticmethod
     def code(s: str) -> np.ndarray:
-        b = np.frombuffer(s.encode("ascii", "replace"), np.uint8).astype(np.int64)
+        return Transitions.code_of(np.frombuffer(s.encode("ascii", "replace"), np.uint8).astype(np.int64))
+
+    @staticmethod
+    def code_of(b: np.ndarray) -> np.ndarray:
         kind = KINDS[b]
         vowel = np.isin(b | 32, np.frombuffer(b"aeiou", np.uint8))
         hexa = np.isin(b | 32, np.frombuffer(b"bcdf", np.uint8))
         return np.where(kind == 0, 0, np.where(kind == 4, 7, np.where(kind == 1, 1, 3) + np.where(vowel, 0, np.where(hexa, 1, 3 - (kind == 1)))))
 
-    def __call__(self, s: str) -> float:
-        c = self.code(s)
-        return float(self.ratio[c[:-1], c[1:]].mean()) if len(c) > 1 else 0.0
-
 
 def coverage(s: str) -> float:
     """Share of characters in dictionary words, longest first from the left."""
@@ -75,27 +104,83 @@ def coverage(s: str) -> float:
     for m in _letters.finditer(s.lower()):
         run, a = m.group(), 0
         while a < len(run) - 3:
+            if run[a : a + 4] not in WORD_STARTS:
+                a += 1
+                continue
             n = next((n for n in range(min(10, len(run) - a), 3, -1) if run[a : a + n] in DICTIONARY), 0)
             covered += n
             a += n or 1
     return covered / len(s)
 
 
+def shapes(strings: list[str], transitions: Transitions) -> np.ndarray:
+    """A row of what each string's characters tell; strings hold no line feed."""
+    joined = "\n".join(strings) + "\n"
+    c = np.minimum(np.frombuffer(joined.encode("utf-32-le"), np.uint32), 127).astype(np.int64)
+    stop = np.flatnonzero(c == 10)
+    first = np.concatenate([[0], stop[:-1] + 1])
+    n = (stop - first).astype(float)
+    row = np.repeat(np.arange(len(n)), stop - first + 1)
+    inside = c != 10
+    kinds = KINDS[c]
+    low = np.where(kinds == 1, c + 32, c)
+    letter = (kinds == 1) | (kinds == 2)
+    vowel = np.isin(low, np.frombuffer(b"aeiou", np.uint8))
+    per = lambda mask: np.add.reduceat(mask.astype(float), first)
+    count = lambda chars: per(np.isin(c, np.frombuffer(chars, np.uint8)))
+    pairs = inside[:-1] & inside[1:]
+    many = np.maximum(n - 1, 1)
+    code = transitions.code_of(c)
+    ratio = np.append(np.where(pairs, transitions.ratio[code[:-1], code[1:]], 0), 0)
+    change = np.append(pairs & (kinds[:-1] != kinds[1:]), False)
+    seen = np.bincount((row * 128 + c)[inside], minlength=len(n) * 128).reshape(-1, 128) / n[:, None]
+    entropy = -(seen * np.log2(np.where(seen > 0, seen, 1))).sum(1)
+    soft = ~(letter & ~vowel & (low != 121))
+    place = np.arange(len(c))
+    run = place - np.maximum.accumulate(np.where(soft, place, -1))
+
+    def having(pattern):
+        flag = np.zeros(len(n))
+        flag[np.searchsorted(stop, [m.start() for m in pattern.finditer(joined)])] = 1
+        return flag
+
+    hexa = count(b"0123456789abcdefABCDEF=.-") == n
+    dots = count(b".")
+    ends = [0.0] * len(n)
+    for k in np.flatnonzero(dots > 0).tolist():
+        ends[k] = float(bool(re.search(r"\.[a-z]{2,5}$", strings[k])))
+    is_hex, is_uuid, mail = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
+    for k in np.flatnonzero(hexa).tolist():
+        is_hex[k], is_uuid[k] = bool(_hex.fullmatch(strings[k].strip("=.-"))), bool(_uuid.fullmatch(strings[k]))
+    for k in np.flatnonzero(count(b"@") > 0).tolist():
+        mail[k] = bool(re.search(r"@[\w\-]+(\.[\w\-]+)+$", strings[k]))
+    return np.stack([
+        n, np.log(n), per(ratio) / many, per(change) / many, entropy, np.array([coverage(s) for s in strings]), count(b"/") / n, dots, ends,
+        per(kinds == 0) / n, per(kinds == 1) / n, is_hex, is_uuid, np.array([s.startswith(KNOWN_STARTS) for s in strings]), having(_secret_words), having(_other_words),
+        (per(kinds == 4) - 1) / n, count(b"!@#$%&*^?") / n, per(vowel) / np.maximum(per(letter), 1), np.maximum.reduceat(run, first), np.maximum.reduce([count(bytes([x])) for x in b"-_. "]), count(b"\x7f") > 0, mail, np.isin(c[first], np.frombuffer(b"[<{$*", np.uint8)),
+        np.array([s.startswith("www.") for s in strings]),
+    ], axis=1).astype(float)
+
+
+def context(before: str, after: str) -> tuple[bool, ...]:
+    """Whether an address, a secret's word, a strong one, another word, a sign points at a candidate, and quotes hold it."""
+    low = before.replace(MARK, "x").lower()
+    near = " ".join(_neighbour.findall(low)[-3:])
+    mark = before.rstrip(" \t\"'`>")[-1:]
+    return (
+        near.endswith("http") or low.endswith("://"), any(w in near for w in SECRET_WORDS), any(w in near for w in STRONG_WORDS), any(w in near for w in OTHER_WORDS),
+        mark in "=:" and mark != "", before != "" and before[-1:] in "\"'`" and after[:1] in "\"'`",
+    )
+
+
 def features(before: str, s: str, after: str, transitions: Transitions) -> list[float]:
-    n = len(s)
-    kinds = KINDS[np.frombuffer(s.encode("ascii", "replace"), np.uint8)]
-    counts = {c: s.count(c) for c in set(s)}
-    low = before.lower()
-    words = _neighbour.findall(low)[-3:]
-    near = " ".join(words)
-    mark = before.rstrip(" \t\"'`")[-1:]
-    bare = s.strip("=.-")
-    return [
-        n, math.log(n), transitions(s), float((kinds[1:] != kinds[:-1]).mean()), -sum(c / n * math.log2(c / n) for c in counts.values()), coverage(s),
-        s.count("/") / n, s.count("."), float(bool(re.search(r"\.[a-z]{2,5}$", s))), float(near.endswith("http") or low.endswith("://") or s.startswith("www.")),
-        float(any(w in near for w in SECRET_WORDS)), float(any(w in near for w in OTHER_WORDS)), float(mark in "=:" and mark != ""), float(before[-1:] in "\"'`" and after[:1] in "\"'`" and before != ""),
-        float((kinds == 0).mean()), float((kinds == 1).mean()), float(bool(_hex.fullmatch(bare))), float(bool(_uuid.fullmatch(s))), float(s.startswith(KNOWN_STARTS)), float(any(w in s.lower() for w in SECRET_WORDS)), float(any(w in s.lower() for w in OTHER_WORDS)),
-    ]
+    return table_of([s], [context(before, after)], transitions)[0].tolist()
+
+
+def table_of(strings: list[str], contexts: list[tuple[bool, ...]], transitions: Transitions) -> np.ndarray:
+    x, where = shapes(strings, transitions), np.array(contexts, float)
+    # rounded, as sums may differ in their last bits from batch to batch
+    return np.round(np.column_stack([x[:, :-1], np.maximum(x[:, -1], where[:, 0]), where[:, 1:]]), 6)
 
 
 class Forest:
@@ -127,7 +212,8 @@ class Forest:
             impurity = cut * a * (1 - a) + (len(y) - cut) * b * (1 - b)
             k = int(np.argmin(impurity))
             if best is None or impurity[k] < best[0]:
-                best = (impurity[k], int(f), (v[cut[k]] + v[cut[k] - 1]) / 2)
+                middle = (v[cut[k]] + v[cut[k] - 1]) / 2
+                best = (impurity[k], int(f), middle if middle < v[cut[k]] else v[cut[k] - 1])
         if best is None:
             return me
         left = x[:, best[1]] <= best[2]
@@ -139,19 +225,18 @@ class Forest:
     def scores(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
         for t in self.trees:
-            at = np.zeros(len(x), np.int64)
-            while True:
-                f = t[at, 0].astype(np.int64)
-                go = f >= 0
-                if not go.any():
-                    break
-                right = x[np.arange(len(x)), np.maximum(f, 0)] > t[at, 1]
-                at = np.where(go, np.where(right, t[at, 3], t[at, 2]).astype(np.int64), at)
+            feature, right, left = t[:, 0].astype(np.int64), t[:, 3].astype(np.int64), t[:, 2].astype(np.int64)
+            at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+            while len(rows):
+                here = at[rows]
+                f = feature[here]
+                rows, here, f = rows[f >= 0], here[f >= 0], f[f >= 0]
+                at[rows] = np.where(x[rows, f] > t[here, 1], right[here], left[here])
             total += t[at, 4]
         return total / len(self.trees)
 
 
-def generated_findings(count: int = 3000, seed: int = 17) -> list[tuple[str, str, str, int]]:
+def generated_findings(count: int = 15000, seed: int = 17) -> list[tuple[str, str, str, int]]:
     """Labelled findings of usual formats, for callers that have none of their own."""
     rng = np.random.Generator(np.random.PCG64(seed))
     low, up, dig, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
@@ -161,9 +246,69 @@ def generated_findings(count: int = 3000, seed: int = 17) -> list[tuple[str, str
     syllable = lambda: pick("bcdfghlmnprstvw", 1) + pick("aeiou", 1) + pick("nrstl", 1)
     plain = lambda: " ".join("".join(syllable() for _ in range(int(rng.integers(1, 4)))) for _ in range(int(rng.integers(1, 5))))
     names = ["token", "secret", "password", "api_key", "access_key", "auth_token", "client_secret", "Authorization: Bearer", "passwd", "private_key", "key", "TOKEN", "API_KEY"]
+    strong = ["password", "Password", "passwd", "pwd", "secret", "client_secret", "passphrase", "db_password", "PASSWORD", "seed", "my secret", "user credential"]
+    signs = "!@#$%&*"
+    mixed = lambda n: "".join(rng.permutation(list(pick(low, 1) + pick(up, 1) + pick(dig, 1) + pick(low + up + dig, n - 3))))
+    heads, hearts, ends = "b c d f g h j k l m n p r s t v w y z th wh st str sh ch br pr tr gr sch qu ph sp cl".split() + [""] * 6, "a e i o u a e i o ea ou io ie ai é ó ü".split() + [""] * 3, "n r s t l d m nd ng th st rs ll ght nts tch ks nt ble tion nth ndst".split() + [""] * 8
+    full = lambda: one(heads) + one(hearts) + one(ends)
+    spoken = lambda: "".join(one([syllable, full, full])() for _ in range(int(rng.integers(1, 5))))
+    prose = lambda: "".join(full() for _ in range(int(rng.integers(2, 9))))
+    shown = lambda w: one([w, w.capitalize(), w.upper(), w])
+    password = lambda: one([
+        lambda: mixed(int(rng.integers(8, 12))), lambda: mixed(int(rng.integers(6, 17))),
+        lambda: "".join(rng.permutation(list(mixed(int(rng.integers(5, 15))) + pick(signs, int(rng.integers(1, 5)))))),
+        lambda: one([one(words), spoken()]).capitalize() + pick(dig, int(rng.integers(2, 5))) + pick(signs, int(rng.integers(0, 3))),
+        lambda: one([one(words), spoken()]) + pick(dig, int(rng.integers(1, 5))),
+        lambda: one(words).translate(str.maketrans("aosei", "@0$31")) + pick(dig + signs, int(rng.integers(2, 5))),
+    ])()
+    letters_only = lambda: pick(one([low, up, low, up, up + "234567"]), int(one([16, 24, 26, 32, int(rng.integers(10, 40))])))
+    phrase = lambda: one(["-", "-", "_", "."]).join(one([one(words), spoken() + syllable()]) for _ in range(int(rng.integers(4, 7))))
     rows = []
     for i in range(count):
-        if i % 2:
+        if i % 6 == 1:
+            q = one(['"', "'", "", '"'])
+            sign = one([" = ", "=", ": ", ":", " := ", '": ' if q else "="])
+            kind = int(rng.integers(10))
+            if kind < 5:
+                body, name = password(), one(strong + names)
+                if not q and rng.random() < 0.3:
+                    sign = one([" is ", " ", " was "])
+            elif kind < 8:
+                body, name = letters_only(), one(strong + names)
+                if rng.random() < 0.3:
+                    rows.append((f"{plain()} ", pick(one([up, low]), int(rng.integers(20, 40))), f" {plain()}", 1))
+                    continue
+            elif kind < 9:
+                body, name, sign = phrase(), one(strong), sign
+                if q and rng.random() < 0.3:
+                    body = " ".join(one(words) for _ in range(int(rng.integers(4, 7))))
+            else:
+                rows.append((f"{plain()} ", "".join(rng.permutation(list(mixed(int(rng.integers(9, 15))) + pick(signs, int(rng.integers(2, 5)))))), f" {plain()}", 1))
+                continue
+            rows.append((f"{plain()} {name}{sign}{q}", body, f"{q} {plain()}", 1))
+        elif i % 6 in (0, 2, 4):
+            q = one(['"', "'", ""])
+            sign = one([" = ", "=", ": ", ":"])
+            word = lambda: shown(one([one(words), spoken(), spoken() + syllable()]))
+            mail = lambda: f"{one([one(words), spoken()])}{one(['.', '', '_'])}{pick(dig, int(rng.integers(0, 4)))}@{one([one(words), spoken()])}{pick(dig, int(rng.integers(0, 2)))}.{one(['com', 'org', 'example.com', 'de'])}"
+            before, body, after = one([
+                *[lambda: (" ", shown(prose()) + one(["", "", "", "!", "###", "-" + prose()]), one([" ", ". ", ", "]))] * 8,
+                lambda: (" ", one([spoken() + syllable() + syllable(), one(words) + spoken(), one(words)]), one([" ", ". ", ", ", "! "])),
+                lambda: (" ", shown(spoken() + syllable() + spoken()) + one(["", "!", "!!!", "###", "%%%", "$$$", "&&&", "?", "***", "@@@"]), " "),
+                lambda: (" ", one(["", "#"]) + shown(spoken() + syllable()) + one(["-", "/", "&", ":", "_", "."]) + shown(spoken()), " "),
+                lambda: (one([" ", ": ", "mail ", "=", ' "']), mail(), " "),
+                lambda: (one([" ", ": ", "at ", "id=", "tel "]), one([":".join(pick(dig, 2) for _ in range(3)), pick(dig, 1) + "." + pick(dig, 2) + "%", "$" + pick(dig, 4), pick(dig, 3) + "-" + pick(dig, 4), pick(dig, int(rng.integers(2, 12))), "-".join(pick(dig, n) for n in (4, 2, 2)), "+" + pick(dig, 2) + "-" + pick(dig, 3) + "-" + pick(dig, 7)]), " "),
+                lambda: (f" {one(['name', 'title', 'lang', 'type', 'class', 'note', 'subject', 'width', spoken(), one(words)])}{sign}{q}", one([word(), word() + "-" + word(), pick(dig, 2) + "px", word() + pick(dig, 1), " ".join(word() for _ in range(3))] if q else [word(), word() + "-" + word(), pick(dig, 2) + "px", word() + pick(dig, 1)]), q + " "),
+                *[lambda: (f" {one(['', spoken()])} {q or chr(34)}", one([word(), prose()]) + one(["", "!", "?", "-" + word()]), (q or '"') + " ")] * 2,
+                lambda: (f" {one(strong + names)}{one([sign, ' ', ' is ', ' '])}{q}", one(["required", "true", "false", "none", "None", "null", "string", "optional", "value", "[SECRET]", "<password>", "****", "********", "${TOKEN}", "{{ token }}", "xxxx", "is", "=", "the", "12", "30"]), q + " "),
+                lambda: (f" {one(strong + names)} {one(['', '', 'is ', spoken() + ' ', spoken() + ' ' + spoken() + ' '])}", one([word(), prose(), word() + one([",", "!", "###", "%%%"])]), " "),
+                lambda: (f" {one(strong + names)}{sign}{q}{one([mixed(9), pick(hexa, 40), MARK])}{q} {one(['', spoken() + ' '])}", one([word(), prose()]) + one(["", "", "!", "###"]), " "),
+                lambda: (f" {one(strong + names)}{sign}{q}", word(), q + " "),
+                lambda: (" ", f"https://{spoken()}.com/{one(words)}?{one(words)}={pick(dig, 2)}&{one(words)}={one(words)}", " "),
+                lambda: (" ", one(["", "the-"]) + "-".join(one([one(words), spoken()]) for _ in range(int(rng.integers(3, 6)))), " "),
+            ])()
+            rows.append((f"{plain()}{before}", body, f"{after}{plain()}", 0))
+        elif i % 6 == 3:
             body = one([lambda: pick(hexa, int(rng.integers(16, 65))), lambda: pick(hexa, one([32, 40, 64])), lambda: pick(low + up + dig, int(rng.integers(20, 48))), lambda: pick(low + up + dig + "+/", 43) + "=", lambda: one(["AKIA", "ASIA"]) + pick(up + dig, 16), lambda: one(["ghp_", "gho_", "xoxb-", "sk_live_", "glpat-", "npm_"]) + pick(low + up + dig, 36), lambda: "eyJ" + ".".join(pick(low + up + dig + "_-", n) for n in (36, 60, 43)), lambda: pick(up + dig, 40)])()
             q = one(['"', "'", "", '"'])
             if body.startswith(KNOWN_STARTS) and rng.random() < 0.6:
@@ -185,52 +330,142 @@ def generated_findings(count: int = 3000, seed: int = 17) -> list[tuple[str, str
                 lambda: (one(["etag ", "hash "]), pick(low + up + dig, 24)),
             ])()
             rows.append((f"{plain()} {before}", body, f" {plain()}", 0))
-    return [r for r in rows if len(r[1]) >= 8]
+    return [r for r in rows if len(r[1]) >= SHORTEST_VALUE]
+
+
+NOWHERE = context("", "")
+KNOWN = 500000
 
 
 class Detector:
     def __init__(self, findings: list[tuple[str, str, str, int]]):
         self.transitions = Transitions(findings)
-        x = np.array([features(b, s, a, self.transitions) for b, s, a, _ in findings])
+        # by string, or string and context where it has one
+        self.known: dict[object, float] = {}
+        x = table_of([s.replace("\n", " ") for _, s, _, _ in findings], [context(b, a) for b, _, a, _ in findings], self.transitions)
         self.forest = Forest(x, np.array([f[3] for f in findings], np.float64))
 
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(text number, first byte, byte after the last, score) of each candidate."""
-        starts, ends, bounds = word_ranges(buf, offs, IS_OTHER)
-        if not len(starts):
-            return []
-        sums = {k: np.concatenate([[0], np.cumsum(m)]) for k, m in (("d", (buf >= 48) & (buf <= 57)), ("u", (buf >= 65) & (buf <= 90)), ("l", (buf >= 97) & (buf <= 122)))}
-        has = {k: s[ends] - s[np.minimum(starts + (k == "u"), ends)] > 0 for k, s in sums.items()}
-        good = (ends - starts >= SHORTEST) & (has["d"] | (has["u"] & has["l"]))
-        doc = np.searchsorted(bounds, np.flatnonzero(good), "right") - 1
-        rows, x = [], []
-        for i, a, b in zip(doc.tolist(), starts[good].tolist(), ends[good].tolist()):
-            lo, hi = max(int(offs[i]), a - CONTEXT), min(int(offs[i + 1]), b + 8)
-            before, s, after = (buf[p:q].tobytes().decode("utf-8", "ignore") for p, q in ((lo, a), (a, b), (b, hi)))
-            lead = len(s) - len(s.lstrip("=./-"))
-            tail = len(s) - len(s.rstrip("./-"))
-            if len(s) - lead - tail < SHORTEST:
-                continue
-            # "name=value": the name goes to the words before
-            lead = max(lead, s.rstrip("=").rfind("=") + 1)
-            if len(s) - lead - tail < SHORTEST:
+        """(text number, first byte, byte after the last, score) of each candidate, in order; they may overlap."""
+        raw = buf.tobytes()
+        points = np.zeros(len(buf) + 1, np.int64)
+        points[1:] = IS_SIGN[buf]
+        low = raw.lower()
+        for word in POINTERS:
+            k = low.find(word)
+            while k >= 0:
+                points[k + 1] = 1
+                k = low.find(word, k + 1)
+        points = np.cumsum(points)
+        texts = offs.tolist()
+        # by first byte << 32 | byte after the last
+        scored: dict[int, object] = {}
+        spans: set[int] = set()
+        narrow = np.full(len(buf) + 1, -1)
+        for separators in (IS_OTHER, IS_OUTSIDE):
+            starts, ends, _ = word_ranges(buf, offs, separators)
+            good = np.flatnonzero((ends - starts >= SHORTEST) & (narrow[starts] != ends))
+            narrow[starts] = ends
+            a, b = starts[good], ends[good]
+            # no sign, quote or word that matters in reach: such candidates differ by their characters alone
+            bare = points[b] == points[np.maximum(a - CONTEXT - 16, 0)]
+            for p, q, alone in zip(a.tolist(), b.tolist(), bare.tolist()):
+                if alone and raw[p] not in b"./-:?" and raw[q - 1] not in b"./-:?":
+                    scored[p << 32 | q] = raw[p:q]
+                    continue
+                for p, q in self._parts(raw, p, q):
+                    if q - p >= SHORTEST:
+                        if alone:
+                            scored[p << 32 | q] = raw[p:q]
+                        else:
+                            spans.add(p << 32 | q)
+        mark = MARK.encode()
+        for i in np.flatnonzero(points[offs[1:]] > points[offs[:-1]]).tolist():
+            lo, hi = texts[i], texts[i + 1]
+            for p, q in self._pointed(raw[lo:hi]):
+                spans.add(lo + p << 32 | lo + q)
+        places = np.array(sorted(spans - scored.keys() if spans else ()), np.int64)
+        for i, span in zip((np.searchsorted(offs, places >> 32, "right") - 1).tolist(), places.tolist()):
+            p, q = span >> 32, span & 0xFFFFFFFF
+            if raw[p:q] in mark and raw[max(p - 1, texts[i]) : q + 1] in mark:
                 continue
-            before, s = before + s[:lead], s[lead : len(s) - tail]
-            rows.append((i, a + lead, b - tail))
-            x.append(features(before, s, after, self.transitions))
-        if not rows:
+            lo, hi = max(texts[i], p - CONTEXT), min(texts[i + 1], q + 8)
+            where = context(raw[lo:p].decode("utf-8", "ignore"), raw[q:hi].decode("utf-8", "ignore"))
+            scored[span] = raw[p:q] if where == NOWHERE else (raw[p:q], where)
+        if not scored:
             return []
-        return [(*r, float(p)) for r, p in zip(rows, self.forest.scores(np.array(x)))]
+        known = self.known
+        self._score({v for v in scored.values() if v not in known})
+        order = sorted(scored)
+        places = np.array(order, np.int64)
+        out = list(zip((np.searchsorted(offs, places >> 32, "right") - 1).tolist(), (places >> 32).tolist(), (places & 0xFFFFFFFF).tolist(), [known[scored[k]] for k in order]))
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        return out
+
+    def _score(self, new: set) -> None:
+        """Equal strings in equal contexts have equal features, so each is scored once."""
+        if not new:
+            return
+        new = list(new)
+        pairs = [(v, NOWHERE) if isinstance(v, bytes) else v for v in new]
+        x = table_of([s.decode("utf-8", "replace") for s, _ in pairs], [w for _, w in pairs], self.transitions)
+        self.known.update(zip(new, self.forest.scores(x).tolist()))
+
+    @staticmethod
+    def _parts(raw: bytes, a: int, b: int):
+        """The parts of a run between inner '='; padding stays with the last one."""
+        end = b
+        while end > a and raw[end - 1] == 61:
+            end -= 1
+        while True:
+            cut = raw.find(b"=", a, end)
+            q = b if cut < 0 else cut
+            p = a
+            while p < q and raw[p] in b"./-:?":
+                p += 1
+            while q > p and raw[q - 1] in b"./-:?":
+                q -= 1
+            if q > p:
+                yield p, q
+            if cut < 0:
+                return
+            a = cut + 1
+
+    @staticmethod
+    def _pointed(text: bytes):
+        """Values in quotes, after signs and after words that go with secrets."""
+        found, quoted = set(), set()
+        for pattern in _values:
+            for m in pattern.finditer(text):
+                (quoted if m[1] else found).add(m.span(2))
+        for m in _secret_word.finditer(text):
+            after = _next_words.match(text, m.end())
+            for k in (1, 2, 3) if after else ():
+                if after[k]:
+                    found.add(after.span(k))
+        for p, q in found:
+            while p < q and text[p] in OPENING:
+                p += 1
+            while q > p and text[q - 1] in CLOSING:
+                q -= 1
+            quoted.add((p, q))
+        return [(p, q) for p, q in quoted if q - p >= SHORTEST_VALUE]
+
+
+@functools.cache
+def _supplied() -> Detector:
+    return Detector(generated_findings())
 
 
 def _detector(docs: DataFrame, findings: DataFrame | None, limit: int):
-    rows = generated_findings()
+    detector = None
     if findings is not None:
         own = findings.select("before", "candidate", "after", "label").where("candidate is not null and length(candidate) > 1 and label in (0, 1)")
         picked = own.orderBy(F.xxhash64("before", "candidate", "after", "label"), "candidate").limit(limit).collect()
         if picked:
-            rows = [(r["before"] or "", r["candidate"], r["after"] or "", int(r["label"])) for r in picked]
-    return docs.sparkSession.sparkContext.broadcast(Detector(rows))
+            detector = Detector([(r["before"] or "", r["candidate"], r["after"] or "", int(r["label"])) for r in picked])
+    return docs.sparkSession.sparkContext.broadcast(detector or _supplied())
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", findings: DataFrame | None = None, limit: int = 20000, threshold: float = 0.5) -> DataFrame:
@@ -245,9 +480,10 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 if not found:
                     continue
                 letters = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-                rows = [(a + i, int(letters[s] - letters[offs[i]]), e - s, hashlib.sha256(buf[s:e].tobytes()).hexdigest(), p, p >= threshold) for i, s, e, p in found]
-                c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(c[0])), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3]), pa.array(c[4]), pa.array(c[5])], names=[id_col, "start", "n_chars", "candidate_sha256", "score", "is_secret"])
+                i, s, e, p = (np.array(c) for c in zip(*found))
+                raw = buf.tobytes()
+                digests = [hashlib.sha256(raw[x:y]).hexdigest() for _, x, y, _ in found]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + i)), pa.array(letters[s] - letters[offs[i]], pa.int64()), pa.array(letters[e] - letters[s], pa.int64()), pa.array(digests), pa.array(p), pa.array(p >= threshold)], names=[id_col, "start", "n_chars", "candidate_sha256", "score", "is_secret"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, start long, n_chars long, candidate_sha256 string, score double, is_secret boolean")
@@ -263,12 +499,19 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[SEC
             texts = batch.column(place)
             changed = {}
             for a, _, buf, offs in chunks(*text_buffer(texts)):
-                for i, s, e, p in reversed(detector.value.scan(buf, offs)):
+                spans: dict[int, list[list[int]]] = {}
+                for i, s, e, p in detector.value.scan(buf, offs):
                     if p >= threshold:
-                        t = changed.get(a + i)
-                        if t is None:
-                            t = buf[offs[i] : offs[i + 1]].tobytes()
-                        changed[a + i] = t[: s - offs[i]] + mark.encode() + t[e - offs[i] :]
+                        own = spans.setdefault(i, [])
+                        if own and s < own[-1][1]:
+                            own[-1][1] = max(own[-1][1], e)
+                        else:
+                            own.append([s, e])
+                for i, own in spans.items():
+                    t = buf[offs[i] : offs[i + 1]].tobytes()
+                    for s, e in reversed(own):
+                        t = t[: s - offs[i]] + mark.encode() + t[e - offs[i] :]
+                    changed[a + i] = t
             if changed:
                 new = texts.to_pylist()
                 for i, t in changed.items():

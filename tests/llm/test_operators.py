@@ -215,6 +215,23 @@ def test_secrets(docs, none, spark):
     assert find_secrets(none).count() == 0 and redact_secrets(docs).count() == len(ROWS)
 
 
+def test_secrets_short_punctuated_and_of_one_case(spark):
+    whole = {
+        1: ('he wrote password = "Xk9mQ2vLp" on the wall', "Xk9mQ2vLp"), 2: ("login with db_password: T7$kq!Zp2&w today", "T7$kq!Zp2&w"), 3: ('a seed = "JBSWYQDPEHPKXPXABCDWRTZQ" was made', "JBSWYQDPEHPKXPXABCDWRTZQ"),
+        4: ('the passphrase: "correct-horse-battery-staple" is known', "correct-horse-battery-staple"), 5: ("run with token=ghp_a8Kd03nVbQ7zLx2mWc5TyR9uJf4HsG1eP6oB=main now", "ghp_a8Kd03nVbQ7zLx2mWc5TyR9uJf4HsG1eP6oB"), 6: ("é secret = 'pä9!Kq#7Zx2' end", "pä9!Kq#7Zx2"),
+    }
+    rows = [(i, t) for i, (t, _) in whole.items()] + [(9, 'The secret garden was "wonderful" and international: see chapter 12 of the extraordinary, well-known book.')]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["candidate_sha256"], r["start"], r["n_chars"]) for r in find_secrets(t).where("is_secret").collect()}
+    assert {(i, hashlib.sha256(s.encode()).hexdigest(), x.index(s), len(s)) for i, (x, s) in whole.items()} <= found
+    out = {r["doc_id"]: r["text"] for r in redact_secrets(t).collect()}
+    assert out[9] == rows[-1][1] and all(s not in out[i] for i, (_, s) in whole.items()) and out[2] == "login with db_password: [SECRET] today"
+    # short findings that the caller has labelled are found, whatever their form
+    own = spark.createDataFrame([("open with pin=", f"q{i}z", " now", 1) for i in range(40)] + [("weight=", f"{i}kg", " now", 0) for i in range(40)], "before string, candidate string, after string, label int")
+    mine = find_secrets(spark.createDataFrame([(1, "open with pin=q7z now")], "doc_id long, text string"), findings=own).where("is_secret").collect()
+    assert [(r["start"], r["n_chars"]) for r in mine] == [(14, 3)]
+
+
 @pytest.mark.parametrize("scorer, label", [(quality_scores, "quality"), (toxicity_scores, "toxic")])
 def test_classifier_cases(docs, none, spark, scorer, label):
     labels = spark.createDataFrame([(1, 1), (3, 0), (8, None), (None, 1), (10, 0), (10, 1)], f"doc_id long, {label} int")
