@@ -146,16 +146,18 @@ def inherit_dimensions(rows: list[tuple[str, str | None, list[str]]]) -> dict[st
     return dims
 
 
-def inherited(quantities: DataFrame, id_col: str = "id", rounds: int = 64) -> DataFrame:
-    """The same as joins: each round a quantity without dimension looks at its first parent."""
+def inherited(quantities: DataFrame, id_col: str = "id") -> DataFrame:
+    """The same as joins: each round a quantity without dimension looks at its first parent, until nothing changes.
+
+    One whose parent has none either looks at the parent's parent next, so rounds grow with the logarithm of the depth.
+    """
     known = quantities.select(id_col, "dimension", F.try_element_at("parents", F.lit(1)).alias("p"))
-    for _ in range(rounds):
-        above = known.select(F.col(id_col).alias("p"), F.col("dimension").alias("d"))
-        new = known.join(above, "p", "left").select(id_col, F.coalesce("dimension", "d").alias("dimension"), "p").persist()
+    while True:
+        above = known.select(F.col(id_col).alias("p"), F.col("dimension").alias("d"), F.col("p").alias("pp"))
+        new = known.join(above, "p", "left").select(id_col, F.coalesce("dimension", "d").alias("dimension"), F.when(F.col("d").isNull(), F.col("pp")).otherwise(F.col("p")).alias("p")).localCheckpoint()
         if not new.where("dimension is null").join(new.where("dimension is not null").select(F.col(id_col).alias("p")), "p", "left_semi").limit(1).count():
             return new.select(id_col, "dimension")
         known = new
-    return known.select(id_col, "dimension")
 
 
 def unit_table(raw: DataFrame, quantities: DataFrame) -> DataFrame:

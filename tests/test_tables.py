@@ -138,3 +138,11 @@ def test_query(spark, sf_dir, name):
         # numbers are compared with nine digits, all else as text
         rows = lambda df: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False))
         assert rows(got) == rows(want)
+
+
+def test_dimensions_reach_every_depth(spark):
+    from docweave.operators import knowledge
+
+    rows = [("q0", "L", [])] + [(f"q{i}", None, [f"q{i - 1}"]) for i in range(1, 150)] + [("a", None, ["b"]), ("b", None, ["a"]), ("c", None, ["gone"]), ("d", "T", ["a"]), ("e", None, ["d", "q0"])]
+    got = knowledge.inherited(spark.createDataFrame(rows, "id string, dimension string, parents array<string>")).collect()
+    assert {r["id"]: r["dimension"] for r in got} == knowledge.inherit_dimensions(rows) and len(got) == len(rows)
