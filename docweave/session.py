@@ -1,19 +1,29 @@
-"""Session helpers: the usual reader and how the package reaches executors."""
+"""Session helpers: tables, how the package reaches executors, and working storage that every executor can see."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: bytes of a batch that goes to Python at once: with long texts both sides hold some MB, whatever the number of rows
+BATCH_BYTES = 4 << 20
+_DEFAULT_BATCH = str(64 << 20)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once per application, so that they need no installation."""
+    """Sends this package to the executors, once per application, so that they need no installation.
+
+    Where the session has Spark's own bound for Arrow batches, it gets ``BATCH_BYTES``.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", _DEFAULT_BATCH).rstrip("b") == _DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId not in _sent:
         root = Path(__file__).parent
         target = Path(tempfile.mkdtemp(prefix="docweave-zip-"), "docweave.zip")
@@ -30,9 +40,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests on one machine) a folder of our own."""
+    """spark.checkpoint.dir of the session.  Where it is unset, a folder of our own on one machine, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def _place(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends, or earlier by ``release``."""
+    path = f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex}"
+    fs, p = _place(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: lineage ends there and a lost executor costs nothing behind it.
+
+    The shuffle files of the writing job go as soon as it is done.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing refers to any more."""
+    for t in tables:
+        fs, p = _place(t.sparkSession, t._stored_at)
+        fs.delete(p, True)
