@@ -23,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
         crossing = both.join(a, "a").join(b, "b").where("ra <> rb")
         hooks = crossing.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("to"))
-        hooks = stored(hooks, "hooks", spill=False)
+        hooks = stored(hooks, "hooks")
         if hooks.isEmpty():
             return roots
         for _ in range(2):
             up = hooks.select(F.col("root").alias("to"), F.col("to").alias("upper"))
             hooks = hooks.join(up, "to", "left").select("root", F.coalesce("upper", "to").alias("to"))
-        roots = stored(roots.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots", spill=False)
+        roots = stored(roots.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, chunks, groups_of, mix, shingle_sets, text_buffer
-from .runtime import small_batches, stored
+from .runtime import stored
 
 COORDINATES = 64
 POSTED = 8
@@ -146,7 +146,7 @@ def _candidates(classes: DataFrame, matches: int) -> DataFrame:
             break
         keys = [F.xxhash64(F.lit(c), F.substring("sig", 2 * c + 1, 2 * width)) for c in range(first, first + bands * width, width)]
         again = long.groupBy("id").agg(F.first("sig").alias("sig"))
-        lists = stored(again.select("id", "sig", F.explode(F.array(*keys)).alias("k")), "lists", spill=False)
+        lists = stored(again.select("id", "sig", F.explode(F.array(*keys)).alias("k")), "lists")
         if lists.isEmpty():
             break
     out = found[0]
@@ -224,8 +224,7 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(id, n_shingles, component_id, kept) for each row of docs: groups of texts whose sets of ``width``-word shingles have at least ``percent`` hundredths in common."""
     s = percent / 100
     matches = int(np.floor(COORDINATES * s - 4.5 * np.sqrt(COORDINATES * s * (1 - s))))
-    with small_batches(docs.sparkSession):
-        return _dedup(docs, id_col, text_col, width, percent, matches)
+    return _dedup(docs, id_col, text_col, width, percent, matches)
 
 
 def _dedup(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, matches: int) -> DataFrame:

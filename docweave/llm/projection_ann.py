@@ -257,14 +257,14 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     while True:
         new = found(at_shards(asked))
         ranked = (new if best is None else best.union(new)).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-        best = stored(ranked.select("query_id", "id", "score", "rank"), "nearest", spill=False)
+        best = stored(ranked.select("query_id", "id", "score", "rank"), "nearest")
         reached = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("reached"))
         best = best.drop("rank")
         if begin >= len(cells.low):
             break
         # twice as many cells each round: what is left to improve halves, so rows go with k log(cells) a query
         end = 2 * begin + 1
-        asked = stored(queries.select("id", "v", "home").join(reached, "id", "left").mapInArrow(route(begin, end), "cell int, id long, v array<double>, kth double"), "asked", spill=False)
+        asked = stored(queries.select("id", "v", "home").join(reached, "id", "left").mapInArrow(route(begin, end), "cell int, id long, v array<double>, kth double"), "asked")
         if asked.isEmpty():
             break
         begin = end

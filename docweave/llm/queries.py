@@ -46,7 +46,10 @@ def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(ship(spark), sf_dir, "documents"))
+    runs = F.col("removed")
+    return remove_repeats(table(ship(spark), sf_dir, "documents")).select(
+        "doc_id", "n_bytes", F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]).alias("n_removed"), F.size(runs).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,54 +1,34 @@
-"""Working storage and lineage cuts of the multi-step operators."""
+"""What the multi-step operators share beside working storage."""
 
 from __future__ import annotations
 
-import contextlib
-import gc
-import math
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import shared_dir
-
+from ..session import release, scratch, shared_dir, stored
 
-def stored(df: DataFrame, name: str, spill: bool = True) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends there and a lost executor costs nothing behind it.
-
-    Afterwards the shuffle files of the finished job are released.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if spill:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Within, at most so many rows go to Python at once: with long texts, both sides hold a few MB and not a hundred."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+__all__ = ["bounded_sample", "fresh", "partitions", "release", "scratch", "shared_dir", "stored"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(rows: int, each: int) -> int:
-    return max(1, math.ceil(rows / each))
-
-
 def fresh(columns: list[str], stem: str) -> str:
     """The stem, lengthened until no column has that name."""
     taken = {c.lower() for c in columns}
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def bounded_sample(rows: DataFrame, keys: list[str], limit: int, total: int) -> DataFrame:
+    """At most ``limit`` of ``total`` rows, those of the smallest key hashes.
+
+    A threshold on the hash that some twice ``limit`` rows pass comes first, so tasks hand on that many rows all
+    together and not ``limit`` each.
+    """
+    h = F.xxhash64(*keys)
+    if total > 2 * limit:
+        rows = rows.where(h < F.lit(int((2 * limit + 64) / total * 2**64) - 2**63))
+    return rows.orderBy(h, *keys).limit(limit)

@@ -113,28 +113,88 @@ def _plain_cut(rows):
     return sorted(out, key=str)
 
 
-def test_repeats(docs, none, spark):
-    assert sorted((tuple(r) for r in remove_repeats(docs).collect()), key=str) == _plain_cut([(i, t) for i, t, _ in ROWS])
+def _digests(found):
+    out = []
+    for r in found.collect():
+        runs = [(x["start"], x["end"]) for x in r["removed"]]
+        assert all(a < b for a, b in runs) and all(b < c for (_, b), (c, _) in zip(runs, runs[1:])) and len(r["kept"]) + sum(b - a for a, b in runs) == r["n_bytes"]
+        out.append((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(runs), hashlib.sha256(r["kept"]).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_repeats(docs, none):
+    assert _digests(remove_repeats(docs)) == _plain_cut([(i, t) for i, t, _ in ROWS])
     assert remove_repeats(none).count() == 0
-    # a frequent passage with other neighbours each time goes the way of hot grams
-    hot = [(i, _text(100 + i, 60) + BASE[:230] + _text(900 + i, 60)) for i in range(150)]
-    got = remove_repeats(spark.createDataFrame(hot, "doc_id long, text string"))
-    assert sorted((tuple(r) for r in got.collect()), key=str) == _plain_cut(hot)
 
 
-def test_periodic_passages_that_many_texts_share(spark):
-    # some 185 bytes with other neighbours each time: grams repeat inside one text, strings of 200 bytes don't
-    rows = [(1000 * k + i, _text(2000 + 500 * k + i, 40) + " " + (w + " ") * (185 // len(w + " ")) + _text(9000 + 500 * k + i, 40)) for k, w in enumerate(("the", "was", "Que", "el", "con"), 1) for i in range(110)]
+def test_repeats_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = queries.op6_suffix_dedup(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=str) == _plain_cut([tuple(r) for r in docs])
+
+
+def _shared_passages():
+    """Passages of all lengths around LENGTH with other neighbours each time, periodic ones among them."""
+    rows = [(i, _text(100 + i, 60) + BASE[: 190 + i % 60] + _text(900 + i, 60)) for i in range(150)]
+    rows += [(1000 * k + i, _text(2000 + 500 * k + i, 40) + " " + (w + " ") * (185 // len(w + " ")) + _text(9000 + 500 * k + i, 40)) for k, w in enumerate(("the", "was", "Que"), 1) for i in range(110)]
     rows += [(500 + i, _text(6000 + i, 60) + " " + "the " * (48 + i) + _text(8000 + i, 60)) for i in range(8)]
-    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((tuple(r) for r in got.collect()), key=str) == _plain_cut(rows)
+    # at the edges of texts, and in several copies
+    return rows + [(700 + i, BASE[20 : 215 + i] + _text(700 + i // 2, 9)) for i in range(30)] + [(760 + i, _text(760 + i // 2, 9) + BASE[: 195 + i]) for i in range(30)]
+
+
+@pytest.mark.parametrize("group", [2, 7, 10000])
+def test_split_groups_give_the_same(spark, monkeypatch, group):
+    rows = _shared_passages()
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    assert _digests(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == _plain_cut(rows)
+
+
+@pytest.mark.parametrize("group", [2, 10000])
+def test_repeat_groups(spark, monkeypatch, group):
+    rows = [(i, "".join(chr(97 + x) for x in np.random.default_rng(i).integers(0, 26, 90)) + BASE[:260] + "".join(chr(97 + x) for x in np.random.default_rng(99 + i).integers(0, 26, 90))) for i in range(12)]
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    raw = dict(rows)
+    groups = {}
+    for r in suffix_dedup.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        groups.setdefault((r["repeat"], r["n_bytes"]), []).append((r["doc_id"], r["start"]))
+    for (_, n), where in groups.items():
+        (string,) = {raw[i][a : a + n] for i, a in where}
+        assert n >= 200 and len(where) > 1
+        # all occurrences, not some
+        assert sorted(where) == sorted((i, a) for i, t in rows for a in range(len(t)) if t.startswith(string, a))
+    assert {i for where in groups.values() for i, _ in where} == set(raw)
 
 
 def test_repeats_of_a_long_text(spark):
-    block = _text(7, 60000)  # over 400 KB, four times in one text that is scanned in pieces
-    rows = [(1, block + "|" + block + "||" + block + "|||" + block)]
-    r = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).first()
-    assert r["n_bytes"] - r["n_removed"] <= 6 and r["n_spans"] <= 4
+    block, other = _text(7, 60000), _text(8, 250000)  # over 400 KB, several times in a text that is scanned in pieces
+    rows = [(1, block + "|" + block + "||" + block + "|||" + block), (2, other + block[1000:1300] + "~"), (3, block[:199])]
+    got = {r["doc_id"]: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole, first = rows[0][1].encode(), len(block)
+    covered = np.zeros(len(whole) + 1, np.int64)
+    for x in got[1]["removed"]:
+        covered[x["start"] : x["end"]] = 1
+    # the four blocks go with the bars between equal ones; what is left are bars that no 200 bytes of another place hold
+    assert all(covered[a : a + first].all() for a in (0, first + 1, 2 * first + 3, 3 * first + 6))
+    assert len(got[1]["kept"]) <= 6 and [(x["start"], x["end"]) for x in got[2]["removed"]] == [(len(other), len(other) + 300)] and got[3]["removed"] == []
+
+
+def test_maximal_repeats_against_all_substrings():
+    rng = np.random.default_rng(4)
+    for trial in range(60):
+        gram = b"#"
+        lefts = [bytes(rng.integers(97, 99, rng.integers(0, 7))) for _ in range(8)]
+        rights = [gram + bytes(rng.integers(97, 99, rng.integers(0, 7))) for _ in range(8)]
+        need = int(rng.integers(2, 7))
+        want = set()
+        for a in range(7):
+            for b in range(1, 8):
+                for string in {(x[:a], y[:b]) for x, y in zip(lefts, rights) if len(x) >= a and len(y) >= b}:
+                    group = [i for i in range(8) if (lefts[i][:a], rights[i][:b]) == string and len(lefts[i]) >= a and len(rights[i]) >= b]
+                    nxt, prev = {rights[i][b : b + 1] for i in group}, {lefts[i][a : a + 1] for i in group}
+                    if len(group) > 1 and a + b >= need and (len(nxt) > 1 or b"" in nxt) and (len(prev) > 1 or b"" in prev):
+                        want.add((a, b, tuple(group)))
+        got = [(a, b, tuple(sorted(g))) for a, b, g in suffix_dedup.maximal_repeats(lefts, rights, need)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_intervals_report_every_occurrence():
