@@ -287,9 +287,10 @@ def _split_rows(contexts: DataFrame, every: bool) -> DataFrame:
 def _occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(g, c, k, t, p) of the anchors whose gram occurs again, and their classes (g, c, n and k, t, p of one of them)."""
     found = stored(docs.mapInArrow(_scan_rows, "g long, c long, k long, t long, p int"), "anchors")
-    twice = found.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g")
+    # written first, so that a frequent gram's rows can be split over tasks in the join
+    twice = stored(found.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "repeated-grams")
     near = stored(found.join(twice, "g", "left_semi"), "near-anchors")
-    release(found)
+    release(found, twice)
     first = [F.first(x).alias(x) for x in ("k", "t", "p")]
     return near, stored(near.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), *first), "classes")
 
