@@ -26,11 +26,16 @@ def unit_features(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, nxref, ntext, ninter, nmrow) of each document that has elements of exactly the class ltx_unit.
 
     Distinct xref targets and first texts of those elements, targets that are ids of csymbols, and mrows among them.
+    Sets are counted by grouping, so no document's set is held in one row.
     """
-    units = nodes.where(F.try_element_at("attrs", F.lit("class")) == "ltx_unit")
-    per = units.groupBy(id_col).agg(F.collect_set(F.try_element_at("attrs", F.lit("xref"))).alias("x"), F.count_distinct("text").alias("ntext"), F.count_if(F.col("tag") == "mrow").alias("nmrow"))
-    ids = nodes.where("tag = 'csymbol'").groupBy(id_col).agg(F.collect_set(F.try_element_at("attrs", F.lit("id"))).alias("c"))
-    return per.join(ids, id_col, "left").select(id_col, F.size("x").alias("nxref"), "ntext", F.size(F.array_intersect("x", F.coalesce("c", F.array().cast("array<string>")))).alias("ninter"), "nmrow")
+    attr = lambda name: F.try_element_at("attrs", F.lit(name))
+    units = nodes.where(attr("class") == "ltx_unit")
+    per = units.groupBy(id_col).agg(F.count_distinct("text").alias("ntext"), F.count_if(F.col("tag") == "mrow").alias("nmrow"))
+    targets = units.select(id_col, attr("xref").alias("x")).where("x is not null").distinct()
+    known = nodes.where("tag = 'csymbol'").select(id_col, attr("id").alias("x"), F.lit(1).alias("known")).where("x is not null").distinct()
+    found = targets.join(known, [id_col, "x"], "left").groupBy(id_col).agg(F.count(F.lit(1)).alias("nxref"), F.count("known").alias("ninter"))
+    count = lambda name: F.coalesce(name, F.lit(0))
+    return per.join(found, id_col, "left").select(id_col, count("nxref").alias("nxref"), "ntext", count("ninter").alias("ninter"), "nmrow")
 
 
 def relevance(inter: Column, texts: Column) -> Column:
@@ -64,7 +69,8 @@ def doc_to_cats(edges: DataFrame) -> DataFrame:
 
 
 def cat_to_docs(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("cat").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    """(cat, doc_id) without repeats: a category may hold a large part of all documents, so they aren't put in one row."""
+    return edges.select("cat", "doc_id").distinct()
 
 
 def annotate(docs: DataFrame, occurrences: DataFrame, units: DataFrame, *, id_col: str = "doc_id", markup_col: str = "html") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections import Counter
 from html import escape
 from html.parser import HTMLParser
 
@@ -26,6 +27,10 @@ HEAD_ONLY = frozenset("title meta link style base".split())
 COMMENT = "#comment"
 
 
+def _step(tag: str) -> str:
+    return "comment()" if tag == COMMENT else tag
+
+
 class Node:
     __slots__ = ("tag", "attrs", "text", "tail", "children", "parent", "at")
 
@@ -62,17 +67,25 @@ class Node:
         node.parent = self
         self.children.insert(at, node)
 
+    def paths(self) -> dict[int, str]:
+        """Paths of this node and all below it by identity, in one pass; a number only where siblings share the tag."""
+        out = {id(self): f"/{_step(self.tag)}"}
+        for node in self.walk():
+            total = Counter(c.tag for c in node.children)
+            count: Counter[str] = Counter()
+            for c in node.children:
+                count[c.tag] += 1
+                out[id(c)] = f"{out[id(node)]}/{_step(c.tag)}" + (f"[{count[c.tag]}]" if total[c.tag] > 1 else "")
+        return out
+
     def path(self) -> str:
-        """Absolute path with a number only where siblings share the tag."""
+        """Absolute path of one node; for many of them see ``paths``."""
         steps = []
         for node in self.ancestors():
-            step = "comment()" if node.tag == COMMENT else node.tag
-            if node.parent is not None:
-                same = [c for c in node.parent.children if c.tag == node.tag]
-                if len(same) > 1:
-                    step += f"[{next(i for i, c in enumerate(same, 1) if c is node)}]"
-            steps.append(step)
-        return "/" + "/".join(reversed(steps))
+            same = [c for c in node.parent.children if c.tag == node.tag] if node.parent is not None else [node]
+            number = f"[{next(i for i, c in enumerate(same, 1) if c is node)}]" if len(same) > 1 else ""
+            steps.append(f"/{_step(node.tag)}{number}")
+        return "".join(reversed(steps))
 
     def find(self, path: str) -> Node | None:
         """The node at an absolute path of this root."""
@@ -211,18 +224,11 @@ def node_rows(root: Node):
     for i in range(len(order) - 1, 0, -1):
         p = order[i].parent.at
         last[p] = max(last[p], last[i])
-    paths, header, place = {0: f"/{root.tag}"}, {0: root.tag in HEADERS}, {0: 0}
+    paths, header, place = root.paths(), {0: root.tag in HEADERS}, {0: 0}
     for i, n in enumerate(order):
-        total: dict[str, int] = {}
-        for c in n.children:
-            total[c.tag] = total.get(c.tag, 0) + 1
-        count: dict[str, int] = {}
         for pos, c in enumerate(n.children):
-            count[c.tag] = count.get(c.tag, 0) + 1
-            step = "comment()" if c.tag == COMMENT else c.tag
-            paths[c.at] = f"{paths[i]}/{step}" + (f"[{count[c.tag]}]" if total[c.tag] > 1 else "")
             header[c.at], place[c.at] = header[i] or c.tag in HEADERS, pos
-        yield i, n.parent.at if n.parent else None, place[i], last[i], n.tag, list(n.attrs.items()), n.classes, n.text or None, n.tail or None, paths[i], header[i]
+        yield i, n.parent.at if n.parent else None, place[i], last[i], n.tag, list(n.attrs.items()), n.classes, n.text or None, n.tail or None, paths[id(n)], header[i]
 
 
 def per_document(docs: DataFrame, id_col: str, markup_col: str, rows_of, types: list[pa.DataType], schema: str) -> DataFrame:

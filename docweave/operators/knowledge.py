@@ -6,15 +6,21 @@ corpus is a join.
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import xml.etree.ElementTree as ET
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DIMENSIONS, PLAIN_DIGITS, SUPERSCRIPTS
+from ..session import release, stored
 
 LIST_MARK = "❙"
+# Certainties, origins of an entry (flags), kinds of notations and their number of children
+CERTAINTY = {"CERTAINLY_NOT": 0, "PROBABLY_NOT": 1, "UNKNOWN": 2, "PROBABLY": 3, "LIKELY": 4, "CERTAINLY_YES": 5}
+ORIGIN = {"MANUAL": 1, "WIKIDATA": 2, "COMBINED": 4, "GUESS": 8, "CONFIRMED": 16, "UNKNOWN": 32}
 ARITY = {"i": 0, "sup": 2, "sub": 2, "subsup": 3, "seq": None}
 _from_superscript = str.maketrans(SUPERSCRIPTS, PLAIN_DIGITS)
 _to_superscript = str.maketrans(PLAIN_DIGITS, SUPERSCRIPTS)
@@ -44,34 +50,41 @@ def unit_json(parts: list[tuple[list, int]]) -> str:
     return json.dumps([[n, e] for n, e in parts])
 
 
+_UNIT = re.compile(rf"(?P<power>[{SUPERSCRIPTS}]+)|(?P<over>/)|(?P<gap>\s+)|(?P<text>[^\s/{SUPERSCRIPTS}]+)")
+
+
+def _opened(name: str, text: str) -> str:
+    """A name and more text, without the closing brackets that nothing in it opens."""
+    whole = name + text
+    at = whole.find("(")
+    return whole.replace(")", "") if at < 0 else whole[:at].replace(")", "") + whole[at:]
+
+
 def parse_unit(s: str) -> list[tuple[list, int]]:
-    """Parts of a unit written like m/s², kg m s⁻² or A/(m s)."""
-    parts: list[tuple[list, int]] = []
-    name, power, sign = "", "", 1
-
-    def close():
-        nonlocal name, power
-        if name or power:
-            parts.append((notation("i", {"val": name}), sign * (int(power) if power else 1)))
-        name = power = ""
-
-    for k, c in enumerate(s):
-        if c in SUPERSCRIPTS:
-            power += c.translate(_from_superscript)
-        elif c == "/":
-            close()
-            sign = -1
-        elif c.isspace():
-            if s[k + 1 : k + 2] != "(":
-                close()
-        elif (c == "(" and sign < 0) or (c == ")" and "(" not in name):
-            continue
-        else:
-            if power:
-                close()
-            name += c
-    close()
-    return parts
+    """Parts of a unit written like m/s², kg m s⁻² or A/(m s).
+
+    Lexemes are folded into rows (name, superscripts, sign), the last of them still open.  All behind the first stroke is
+    below it, where brackets mean nothing.
+    """
+    rows = [["", "", 1]]
+    for m in _UNIT.finditer(re.sub(r"(?<!\s)\s\(", "(", s)):
+        name, power, sign = rows[-1]
+        match m.lastgroup:
+            case "power":
+                rows[-1][1] += m[0].translate(_from_superscript)
+            case "over":
+                rows.append(["", "", -1])
+            case "gap":
+                rows.append(["", "", sign])
+            case "text":
+                text = m[0] if sign > 0 else m[0].replace("(", "")
+                if power:
+                    kept, text = (")", text[1:]) if text[:1] == ")" and "(" in name else ("", text.lstrip(")"))
+                    if kept or text:
+                        rows.append([kept + _opened("", text), "", sign])
+                else:
+                    rows[-1][0] = _opened(name, text)
+    return [(notation("i", {"val": name}), sign * int(power or 1)) for name, power, sign in rows if name or power]
 
 
 # ---- dimensions
@@ -151,13 +164,16 @@ def inherited(quantities: DataFrame, id_col: str = "id") -> DataFrame:
 
     One whose parent has none either looks at the parent's parent next, so rounds grow with the logarithm of the depth.
     """
-    known = quantities.select(id_col, "dimension", F.try_element_at("parents", F.lit(1)).alias("p"))
+    known = stored(quantities.select(id_col, "dimension", F.try_element_at("parents", F.lit(1)).alias("p")), "dimensions")
     while True:
         above = known.select(F.col(id_col).alias("p"), F.col("dimension").alias("d"), F.col("p").alias("pp"))
-        new = known.join(above, "p", "left").select(id_col, F.coalesce("dimension", "d").alias("dimension"), F.when(F.col("d").isNull(), F.col("pp")).otherwise(F.col("p")).alias("p")).localCheckpoint()
-        if not new.where("dimension is null").join(new.where("dimension is not null").select(F.col(id_col).alias("p")), "p", "left_semi").limit(1).count():
-            return new.select(id_col, "dimension")
+        new = known.join(above, "p", "left").select(id_col, F.coalesce("dimension", "d").alias("dimension"), F.when(F.col("d").isNull(), F.col("pp")).otherwise(F.col("p")).alias("p"))
+        new = stored(new, "dimensions")
+        release(known)
         known = new
+        given = known.where("dimension is not null").select(F.col(id_col).alias("p"))
+        if known.where("dimension is null").join(given, "p", "left_semi").isEmpty():
+            return known.select(id_col, "dimension")
 
 
 def unit_table(raw: DataFrame, quantities: DataFrame) -> DataFrame:
@@ -191,14 +207,36 @@ def find_units(labels: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def notation_index(units: DataFrame) -> DataFrame:
-    """(notation, unit_id): parsed notations, each with the first unit that has it."""
+    """(notation, unit_id, unit_ids): parsed notations with all units that have them, the first of these apart."""
     parse = F.udf(lambda s: unit_json(parse_unit(s)))
-    return units.select("unit_id", F.explode("notations").alias("n")).select("unit_id", parse("n").alias("notation")).groupBy("notation").agg(F.min("unit_id").alias("unit_id"))
+    every = units.select("unit_id", F.explode("notations").alias("n")).select("unit_id", parse("n").alias("notation"))
+    return every.groupBy("notation").agg(F.min("unit_id").alias("unit_id"), F.array_sort(F.collect_set("unit_id")).alias("unit_ids"))
+
+
+def knowledge_base(raw_units: DataFrame, raw_quantities: DataFrame) -> dict[str, DataFrame]:
+    """The whole knowledge base from the raw tables: units, quantities, names, notations, and unit_quantities.
+
+    Every entry says where it is from (flags of ORIGIN); a unit's dimension is certain, and notations are partly guessed
+    as they are parsed from text.
+    """
+    origin = lambda *names: F.lit(sum(ORIGIN[n] for n in names)).alias("creation")
+    found = quantity_table(raw_quantities)
+    quantities = found.drop("dimension").join(inherited(found), "id", "left")
+    numbered = quantities.withColumn("quantity_id", F.row_number().over(Window.orderBy("id")) - 1)
+    units = link_si(unit_table(raw_units, quantities))
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", F.explode(F.array_distinct(F.concat(F.array("label"), "alt_labels"))).alias("name"), origin("WIKIDATA"))
+    return {
+        "units": units.select("unit_id", "id", "label", "dimension", F.when(F.col("dimension").isNotNull(), CERTAINTY["CERTAINLY_YES"]).alias("dimension_certainty"), "factor", "si_unit", "si_label", origin("WIKIDATA")),
+        "quantities": numbered.select("quantity_id", "id", "label", "dimension", "parents", "latex", origin("WIKIDATA")),
+        "names": named(units, "unit").union(named(quantities.withColumn("alt_labels", F.array().cast("array<string>")), "quantity")),
+        "notations": notation_index(units).select("notation", F.explode("unit_ids").alias("unit_id"), origin("WIKIDATA", "GUESS")),
+        "unit_quantities": units.select("unit_id", F.explode("quantities").alias("quantity"), origin("WIKIDATA")),
+    }
 
 
 def resolve(finds: DataFrame, index: DataFrame) -> DataFrame:
     """Finds with the unit of their notation; those without one are left out (see unresolved)."""
-    return finds.join(index, finds["unit_notation"] == index["notation"]).drop("notation")
+    return finds.join(index.select("notation", "unit_id"), F.col("unit_notation") == F.col("notation")).drop("notation")
 
 
 def unresolved(finds: DataFrame, index: DataFrame) -> DataFrame:
@@ -208,6 +246,20 @@ def unresolved(finds: DataFrame, index: DataFrame) -> DataFrame:
 # ---- graph queries on (subj, pred, obj) triples
 
 
+def with_triples(triples: DataFrame, more: DataFrame) -> DataFrame:
+    """A graph holds each triple once."""
+    return triples.select("subj", "pred", "obj").union(more.select("subj", "pred", "obj")).distinct()
+
+
+def mark_present(triples: DataFrame, kind: str) -> DataFrame:
+    """triples with a mark that those of a kind are complete."""
+    return with_triples(triples, triples.sparkSession.createDataFrame([("base", "has-metadata", kind)], "subj string, pred string, obj string"))
+
+
+def is_present(triples: DataFrame, kind: str) -> bool:
+    return not objects(triples, "base", "has-metadata").where(F.col("obj") == kind).isEmpty()
+
+
 def subjects(triples: DataFrame, pred: str, obj: str) -> DataFrame:
     return triples.where((F.col("pred") == pred) & (F.col("obj") == obj)).select("subj")
 
@@ -219,13 +271,14 @@ def objects(triples: DataFrame, subj: str, pred: str) -> DataFrame:
 def subclasses(triples: DataFrame, root: str, pred: str = "subclass") -> DataFrame:
     """(id,) of all below root, itself included.  One round a level; cycles end where nothing new is found."""
     edges = triples.where(F.col("pred") == pred).select(F.col("subj").alias("id"), F.col("obj").alias("up"))
-    found = triples.sparkSession.createDataFrame([(root,)], "id string")
-    front = found
+    front = triples.sparkSession.createDataFrame([(root,)], "id string")
+    levels = [front]
     while True:
-        front = edges.join(front.withColumnRenamed("id", "up"), "up", "left_semi").select("id").distinct().join(found, "id", "left_anti").persist()
+        found = functools.reduce(DataFrame.union, levels)
+        front = stored(edges.join(front.withColumnRenamed("id", "up"), "up", "left_semi").select("id").distinct().join(found, "id", "left_anti"), "subclasses")
         if front.isEmpty():
             return found
-        found = found.union(front)
+        levels.append(front)
 
 
 def grouped_values(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -208,11 +208,13 @@ def match_nodes(docs: DataFrame, pattern: NodePattern, root_tag: str | None = No
     parse = parse_xml if xml else parse_html
 
     def rows(markup):
-        for node in parse(markup).walk():
+        root = parse(markup)
+        paths = root.paths()
+        for node in root.walk():
             if node.tag != COMMENT and (root_tag is None or node.tag == root_tag):
                 for k, m in enumerate(matches(pattern, node)):
-                    labels = [{"idx": i, "parent_idx": p, "label": name, "path": n.path() if n else None, "text": n.text if n else None} for i, p, name, n in label_tree(m).rows()]
-                    yield node.path(), k, labels
+                    labels = [{"idx": i, "parent_idx": p, "label": name, "path": paths[id(n)] if n else None, "text": n.text if n else None} for i, p, name, n in label_tree(m).rows()]
+                    yield paths[id(node)], k, labels
 
     return per_document(docs, id_col, markup_col, rows, [pa.string(), pa.int32(), _LABELS], MATCHES)
 

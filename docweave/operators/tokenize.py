@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -37,10 +39,15 @@ def in_header(node: Node) -> bool:
     return any(n.tag in HEADERS for n in node.ancestors())
 
 
+#: what may end a sentence; of a full stop, not before a small letter and not between digits
+_end = re.compile(r"[.!?](?![\xa0,.:;])")
+_word = re.compile(r"[.,:;!?)(\[\]{}\-”“]|[^\s.,:;!?)(\[\]{}\-”“]+")
+
+
 def ends_sentence(flat: Flat, p: Piece, i: int) -> bool:
     s, c = p.string, p.string[i]
     after = s[i + 1 : i + 2]
-    if c not in ".!?" or (after and after in "\xa0,.:;"):
+    if not _end.match(s, i):
         return False
     if c == "." and (after.islower() or (i > 0 and s[i - 1].isdigit() and after.isdigit())):
         return False
@@ -50,45 +57,48 @@ def ends_sentence(flat: Flat, p: Piece, i: int) -> bool:
 def split_sentences(flat: Flat, p: Piece) -> list[Piece]:
     """Cuts after sentence ends, before and after headers, and after display formulas that white space follows.
 
-    What follows the last cut isn't a sentence.
+    What follows the last cut isn't a sentence.  Only characters that may end one are looked at, and the tokens' starts.
     """
-    facts: dict[int, tuple[bool, bool]] = {}
-
-    def about(i: int) -> tuple[bool, bool]:
-        node = flat.node(p.refs[i])
-        if id(node) not in facts:
-            facts[id(node)] = in_header(node), is_display(node)
-        return facts[id(node)]
-
-    out, begin, inside = [], 0, False
-    for i in range(len(p)):
-        header, display = about(i)
-        cut = i + 1 if ends_sentence(flat, p, i) else None
-        if header != inside:
-            inside, cut = header, i
-        if display and i + 2 < len(p) and p.string[i + 1].isspace() and not about(i + 1)[1]:
-            cut = i + 1
-        if cut is not None:
-            piece = p[begin:cut].strip().normalize_spaces()
-            if len(piece):
-                out.append(piece)
-            begin = cut
+    header: dict[int, bool] = {}
+
+    def under_header(node: Node) -> bool:
+        chain = []
+        while node is not None and id(node) not in header:
+            chain.append(node)
+            node = node.parent
+        known = node is not None and header[id(node)]
+        for n in reversed(chain):
+            known = header[id(n)] = known or n.tag in HEADERS
+        return known
+
+    # by place: sentence ends, then changes of header, then ends of display formulas, the last of them counts
+    cuts = {m.start(): m.end() for m in _end.finditer(p.string) if ends_sentence(flat, p, m.start())}
+    inside, display, at = False, False, 0
+    for t in flat.tokens:
+        k = bisect_left(p.refs, t.start, at)
+        at = k
+        if k == len(p.refs):
+            break
+        if p.refs[k] >= t.start + len(t.content):
+            continue
+        node = t.surrounding
+        if display and not is_display(node) and k + 1 < len(p) and p.string[k].isspace():
+            cuts[k - 1] = k
+        if under_header(node) != inside:
+            inside = not inside
+            cuts[k] = k
+        display = is_display(node)
+    out, begin = [], 0
+    for _, cut in sorted(cuts.items()):
+        piece = p[begin:cut].strip().normalize_spaces()
+        if len(piece):
+            out.append(piece)
+        begin = cut
     return out
 
 
 def split_words(p: Piece) -> list[Piece]:
-    marks = set(".,:;!?)([]{}-”“")
-    out, begin = [], 0
-    for i, c in enumerate(p.string):
-        if c in marks or c.isspace():
-            if begin < i:
-                out.append(p[begin:i])
-            if c in marks:
-                out.append(p[i])
-            begin = i + 1
-    if begin < len(p):
-        out.append(p[begin:])
-    return out
+    return [p[m.start() : m.end()] for m in _word.finditer(p.string)]
 
 
 _SPAN = [pa.int32(), pa.string(), pa.list_(pa.int32())]

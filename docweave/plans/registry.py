@@ -1,18 +1,20 @@
 """Queries of the library's own operators over whole tables, and the same in SQL.
 
-What the tables don't hold (formulas, units) is given as literal rows, equal in both.
+The tables hold no formulas, so queries on these run over all pages with their links made formulas, in both.  Queries on
+units and the knowledge base, which is no table here, run on literal rows, and their SQL is the rows expected.
 """
 
 from __future__ import annotations
 
-import uuid
+import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus, html_tree, knowledge, linearize, patterns, quantity, tokenize
-from ..session import shared_dir, ship, table
+from ..session import scratch, ship, table
+from ..sources.readers import metadata
 from ..sources.sinks import category_lines, occurrence_json
 from ..streaming.documents import drain, table_stream
 
@@ -39,6 +41,33 @@ def query(sql: str | None = None):
     return add
 
 
+#: of text in markup: entities, the only ones in the pages
+UNESCAPED = functools.reduce(lambda sql, e: f"replace({sql}, '{e[0]}', '{e[1]}')", [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")], "X")
+_AD = "'<div class=\"ad\">([^<]*)</div>'"
+_LINK = '<li><a href="/([^"]LENGTH)">([^<]*)</a></li>'
+#: the links of the pages in order: number, step of the path, href, text, and what the formula of each holds
+LINKS = f"""
+    WITH raw AS (SELECT page_id, unnest(regexp_extract_all(html, '{_LINK.replace("LENGTH", "*")}', 1)) AS href, unnest(regexp_extract_all(html, '{_LINK.replace("LENGTH", "*")}', 2)) AS t, generate_subscripts(regexp_extract_all(html, '{_LINK.replace("LENGTH", "*")}', 1), 1) AS k FROM pages),
+    links AS (SELECT page_id, k, CASE WHEN count(*) OVER (PARTITION BY page_id) > 1 THEN '[' || k || ']' ELSE '' END AS step, href, {UNESCAPED.replace("X", "t")} AS text, length(href) >= 5 AS known, CASE WHEN length(href) >= 5 THEN 12.5 ELSE 3.0 END::DOUBLE AS value, CASE WHEN length(href) >= 5 THEN 0 ELSE 32 END AS flags FROM raw)"""
+#: the texts of the pages: without head, with it, up to the header and of the header
+_TEXT = lambda markup: UNESCAPED.replace("X", f"regexp_replace({markup}, '<[^>]*>', '', 'g')")
+FLAT = f"""
+    WITH parts AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), 'var t="</p>"', 'var t="' || chr(1) || '/p' || chr(2) || '"', 'g') AS h FROM pages),
+    cut AS (SELECT page_id, h, regexp_replace(h, '(?s)<head>.*?</head>', '') AS b FROM parts),
+    flat AS (SELECT page_id, {_TEXT("b")} AS string, translate({_TEXT("h")}, chr(1) || chr(2), '<>') AS every, {_TEXT("regexp_extract(b, '(?s)^(.*?)<h1>', 1)")} AS before, {_TEXT("regexp_extract(b, '<h1>([^<]*)</h1>', 1)")} AS header FROM cut)
+"""
+
+
+def _formula_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, each link of their lists a formula of a number and the link as its unit; long ones have a csymbol."""
+
+    def formula(number: str, more: str = "") -> Column:
+        return F.lit(f'<li><math><semantics><mrow><mn>{number}</mn><mtext> </mtext><mi mathvariant="normal" class="ltx_unit" xref="$1">$2</mi></mrow>{more}</semantics></math>, </li>')
+
+    known = F.regexp_replace("html", F.lit(_LINK.replace("LENGTH", "{5,}")), formula("12.5", '<annotation-xml><csymbol id="$1">$2</csymbol></annotation-xml>'))
+    return table(ship(spark), sf_dir, "pages").select("page_id", F.regexp_replace(known, F.lit(_LINK.replace("LENGTH", "*")), formula("3")).alias("html"))
+
+
 # ---- words and sentences
 
 
@@ -62,7 +91,7 @@ def q_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_COUNTS)
 def q_stream_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a stream of the table's files."""
-    place = f"{shared_dir(spark)}/docweave-stream-{uuid.uuid4().hex}"
+    place = scratch(spark, "stream")
     arriving = table_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     return drain(_word_counts(arriving), f"{place}/table", f"{place}/checkpoint")
 
@@ -137,9 +166,9 @@ def q_doc_to_cats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.doc_to_cats(_edges(spark, sf_dir)).select("doc_id", F.array_join("cats", ", ").alias("cats"))
 
 
-@query("SELECT cat, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM (SELECT doc_id, unnest([source, lang]) AS cat FROM documents) GROUP BY cat")
+@query("SELECT DISTINCT unnest([source, lang]) AS cat, doc_id FROM documents")
 def q_cat_to_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.cat_to_docs(_edges(spark, sf_dir)).select("cat", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
+    return corpus.cat_to_docs(_edges(spark, sf_dir))
 
 
 @query("SELECT doc_id::VARCHAR || ': ' || source || ', ' || lang AS value FROM documents")
@@ -161,10 +190,12 @@ def q_severity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.severity_of(_severities(spark, sf_dir))
 
 
-@query(_SEVERITIES + "SELECT doc_id, lang FROM documents JOIN s USING (doc_id) WHERE level <> 'error'")
+@query(_SEVERITIES + "SELECT doc_id, lang FROM documents LEFT JOIN s USING (doc_id) WHERE coalesce(level, 'no-problem') <> 'error'")
 def q_severity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    return corpus.without_errors(known, _severities(spark, sf_dir)).select("doc_id", "lang")
+    """All documents; those without a label are listed as unproblematic, since an id without a level is an error of the run."""
+    docs, known = table(spark, sf_dir, "documents"), _severities(spark, sf_dir)
+    others = docs.join(known, "doc_id", "left_anti").select("doc_id", F.lit("no-problem").alias("level"))
+    return corpus.without_errors(docs, known.union(others)).select("doc_id", "lang")
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,9 +208,13 @@ def q_relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.ranked(_counts(spark, sf_dir), 5)
 
 
-@query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+@query(r"SELECT conv_id::VARCHAR AS conv_id, array_to_string([x FOR x IN string_split_regex(trim(arg_max(text, turn)), '[ \t\n\x0B\f\r]+') IF x <> ''], ' ') AS words FROM conversations GROUP BY conv_id")
 def q_metadata_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    """Conversations as metadata lines, one a turn; the last line of an id counts."""
+    turns = table(spark, sf_dir, "conversations").orderBy("conv_id", "turn")
+    path = scratch(spark, "metadata")
+    turns.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.col("text").alias("categories")))).write.text(path)
+    return metadata(spark, path).select(F.col("doc_id").alias("conv_id"), F.array_join("cats", " ").alias("words"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^[^0-9]*([0-9]{4})', 1) AS yymm, replace(regexp_replace(url, '\\.html$', ''), '/', '') AS id FROM pages")
@@ -198,9 +233,9 @@ def q_html_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.where(F.col("tag") != html_tree.COMMENT).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def q_xpath_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_tree.nodes(table(ship(spark), sf_dir, "pages")).select("page_id", "node_id", "xpath")
+@query(f"{LINKS} SELECT page_id, '/html/body/nav/ul/li' || step || '/a' AS xpath, text FROM links")
+def q_xpath_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.nodes(table(ship(spark), sf_dir, "pages")).where("tag = 'a'").select("page_id", "xpath", "text")
 
 
 @query("SELECT page_id, replace(replace(replace(unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS header FROM pages")
@@ -217,33 +252,38 @@ def q_features_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("page_id", F.size("h").alias("n_href"), "n_text", F.size(F.array_intersect("h", "s")).alias("n_same"))
 
 
-@query()
+@query(FLAT + "SELECT page_id, string FROM flat")
 def q_linearize_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linearize.linearize(table(ship(spark), sf_dir, "pages"))
 
 
-@query()
+@query(FLAT + "SELECT page_id, every AS string FROM flat")
 def q_linearize_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linearize.tokens(table(ship(spark), sf_dir, "pages"), rules=linearize.EMPTY_RULES)
+    """Without rules the texts of head, style and script come too."""
+    return linearize.linearize(table(ship(spark), sf_dir, "pages"), rules=linearize.EMPTY_RULES)
 
 
-@query()
+@query(FLAT + """, u AS (SELECT page_id, string, len(before) AS b1, len(before) + len(header) AS b2 FROM flat), """ + _ENDS.strip().removeprefix("WITH ").replace("SELECT doc_id, string_split(text, '') AS l FROM documents", "SELECT page_id AS doc_id, string_split(string, '') AS l FROM u").replace("s AS (", "all_ends AS (SELECT doc_id, l, i FROM e WHERE NOT exists (SELECT 1 FROM u WHERE page_id = doc_id AND i - 1 IN (b1, b2)) UNION SELECT doc_id, l, unnest([b1, b2]) AS i FROM c JOIN u ON page_id = doc_id WHERE b2 > b1 AND b2 < len(l)), s AS (").replace("AS sentence FROM e)", "AS sentence FROM all_ends)") + " SELECT doc_id AS page_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS sent_no, sentence AS string FROM s WHERE sentence <> ''")
 def q_markup_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.markup_sentences(table(ship(spark), sf_dir, "pages")).select("page_id", "sent_no", "string")
 
 
-@query()
+_TAGS = r"""array_to_string([CASE WHEN NOT regexp_matches(w, '[\p{L}\p{N}]') THEN 'PUNCT' WHEN regexp_matches(w, '^\p{Nd}') THEN 'NUM'
+    WHEN lower(w) LIKE '%ly' THEN 'ADV' WHEN lower(w) LIKE '%ing' OR lower(w) LIKE '%ed' THEN 'VERB' WHEN regexp_matches(w, '^\p{Lu}') THEN 'PROPN' ELSE 'NOUN' END FOR w IN regexp_extract_all(sentence, 'WORD')], ' ') AS tags""".replace("WORD", WORD)
+
+
+@query(_ENDS + f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS sent_no, {_TAGS} FROM s WHERE sentence <> ''")
 def q_tagged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tokenize.sentence_table(table(ship(spark), sf_dir, "documents")).withColumn("words", T.words(F.col("sentence")))
-    return s.select("doc_id", "sent_no", tokenize.tag_words(F.col("words")).alias("tags"))
+    return s.select("doc_id", "sent_no", F.array_join(tokenize.tag_words(F.col("words")), " ").alias("tags"))
 
 
-@query()
+@query(FLAT + "SELECT page_id, '[' || substr(string, 1, 2) || ']' || substr(string, 3) AS string FROM flat")
 def q_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bracket around the first word of each page's article."""
+    """The text of pages after marks were put around their first two characters."""
     pages = table(ship(spark), sf_dir, "pages")
     edits = pages.select("page_id", F.posexplode(F.array(F.lit("<b>[</b>"), F.lit("<i>]</i>"))).alias("seq", "markup")).withColumn("pos", F.col("seq")).withColumn("after", F.col("seq") == 1)
-    return linearize.insert_markup(pages, edits)
+    return linearize.linearize(linearize.insert_markup(pages, edits), markup_col="html_out")
 
 
 # ---- patterns
@@ -269,21 +309,74 @@ def _formulas(spark: SparkSession) -> DataFrame:
     return ship(spark).createDataFrame([(1, FORMULA)], "doc_id int, html string")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'a', 'x'), (1, 1, 'a', 'X'), (1, 2, 'b', 'x'), (1, 3, 'b', 'X')) t(doc_id, match_no, label, text)")
+_FORMULA_SQL = "(VALUES (0, -1, 'math', ''), (1, 0, 'semantics', ''), (2, 1, 'mrow', ''), (3, 2, 'mi', 'x'), (4, 2, 'mo', '∈'), (5, 2, 'mi', 'X'), (6, 1, 'annotation-xml', ''), (7, 6, 'apply', ''), (8, 7, 'in', ''), (9, 7, 'ci', 'x'), (10, 7, 'ci', 'X')) n(node_id, parent_id, tag, text)"
+
+
+@query(f"""
+    WITH n AS (SELECT * FROM {_FORMULA_SQL}), inner_ AS (SELECT c.* FROM n m JOIN n s ON s.parent_id = m.node_id AND s.tag = 'semantics' JOIN n c ON c.parent_id = s.node_id AND c.tag IN ('annotation-xml', 'mrow') WHERE m.tag = 'math'),
+    found AS (SELECT ci.node_id, 'a' AS label, ci.text FROM inner_ i JOIN n a ON a.parent_id = i.node_id AND a.tag = 'apply' JOIN n ci ON ci.parent_id = a.node_id AND ci.tag = 'ci' UNION ALL SELECT mi.node_id, 'b', mi.text FROM inner_ i JOIN n mi ON mi.parent_id = i.node_id AND mi.tag = 'mi')
+    SELECT 1 AS doc_id, (row_number() OVER (ORDER BY node_id) - 1)::INT AS match_no, label, text FROM found""")
 def q_match_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = patterns.tag
     p = tag("math") / tag("semantics") / (tag("annotation-xml") | tag("mrow")) / (tag("apply") / tag("ci") ** "a" | tag("mi") ** "b")
-    m = patterns.match_nodes(_formulas(spark), p, "math", id_col="doc_id", xml=True).select("doc_id", "match_no", F.explode("labels").alias("l")).select("doc_id", "l.label", "l.text")
-    order = F.when(F.col("label") == "a", 0).otherwise(2) + F.when(F.col("text") == "x", 0).otherwise(1)
-    return m.select("doc_id", order.alias("match_no"), "label", "text")
+    m = patterns.match_nodes(_formulas(spark), p, "math", id_col="doc_id", xml=True)
+    return m.select("doc_id", "match_no", F.explode("labels").alias("l")).select("doc_id", "match_no", "l.label", "l.text")
 
 
-@query("SELECT * FROM (VALUES (1, 'mo'), (1, 'rest')) t(doc_id, label)")
+@query("SELECT * FROM (VALUES (1, 0, 1, 'mo'), (1, 0, 1, 'rest')) t(doc_id, match_no, derivations, label)")
 def q_match_maybe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag, seq, maybe = patterns.tag, patterns.seq, patterns.maybe
     p = tag("mrow") / seq(tag("mi"), maybe(tag("mo") ** "mo"), maybe(tag("mtext") ** "none"), tag("mi") ** "rest")
-    m = patterns.match_nodes(_formulas(spark), p, "mrow", id_col="doc_id", xml=True)
-    return m.select("doc_id", F.explode("labels").alias("l")).select("doc_id", "l.label").where("label <> 'root'")
+    m = patterns.match_nodes(_formulas(spark), p, "mrow", id_col="doc_id", xml=True).cache()
+    many = m.groupBy("doc_id", "root_path").agg(F.count(F.lit(1)).cast("int").alias("derivations"))
+    return m.join(many, ["doc_id", "root_path"]).select("doc_id", "match_no", "derivations", F.explode("labels").alias("l")).select("doc_id", "match_no", "derivations", "l.label").where("label <> 'root'")
+
+
+@query(f"SELECT page_id, 0 AS match_no, {UNESCAPED.replace('X', 'unnest(regexp_extract_all(html, ' + _AD + ', 1))')} AS text FROM pages")
+def q_match_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = patterns.tag("div").with_class("note", "ad") ** "ad"
+    m = patterns.match_nodes(table(ship(spark), sf_dir, "pages"), p, "div")
+    return m.select("page_id", "match_no", F.explode("labels").alias("l")).select("page_id", "match_no", "l.text")
+
+
+@query(f"{LINKS} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INT AS match_no, text FROM links WHERE regexp_matches(text, '^[A-Z]')")
+def q_match_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = patterns.tag("nav") / patterns.tag("ul") / (patterns.any_tag / patterns.tag("a").with_text("[A-Z]") ** "link")
+    m = patterns.match_nodes(table(ship(spark), sf_dir, "pages"), p, "nav")
+    return m.select("page_id", "match_no", F.explode("labels").alias("l")).where("l.label = 'link'").select("page_id", "match_no", "l.text")
+
+
+@query(f"{LINKS} SELECT page_id, '/html/body/nav/ul/li' || step || '/math/semantics/mrow' AS root_path, d.match_no, d.label FROM links, (VALUES (0, 'number'), (1, 'first')) d(match_no, label)")
+def q_match_seq_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alternatives of sequences: each formula of the pages has two derivations."""
+    tag, seq, maybe, any_tag = patterns.tag, patterns.seq, patterns.maybe, patterns.any_tag
+    p = tag("mrow") / (seq(tag("mn") ** "number", maybe(tag("mtext")), tag("mi")) | seq(any_tag ** "first", any_tag, any_tag))
+    m = patterns.match_nodes(_formula_pages(spark, sf_dir), p, "mrow")
+    return m.select("page_id", "root_path", "match_no", F.explode("labels").alias("l")).select("page_id", "root_path", "match_no", "l.label").where("label <> 'root'")
+
+
+# ---- units and quantities: pages whose links have been made formulas
+
+
+@query(f"{LINKS} SELECT page_id, '/html/body/nav/ul/li' || step || '/math&/html/body/nav/ul/li' || step || '/math+tail0&False' AS dnm_range, text AS unit, value, flags FROM links")
+def q_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quantity.spot(_formula_pages(spark, sf_dir), id_col="page_id")
+    return found.select("page_id", "dnm_range", F.get_json_object("unit_notation", "$[0][0][1].val").alias("unit"), "scalar.value", F.col("scalar.notation").alias("flags"))
+
+
+@query(f"{LINKS} SELECT page_id, '/html/body/nav/ul/li' || step || '/math' AS path, 1 AS derivations, '/html/body/nav/ul/li' || step || '/math/semantics/mrow/mi' AS unit_path, value FROM links")
+def q_spot_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantity.spot_formulas(_formula_pages(spark, sf_dir), id_col="page_id").select("page_id", "path", "derivations", "unit_path", "value")
+
+
+@query(f"{LINKS} SELECT page_id, (k - 1)::INT AS formula_no, 'read' AS state, value, CASE WHEN known THEN text END AS words FROM links")
+def q_marked_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantity.marked_formulas(_formula_pages(spark, sf_dir), id_col="page_id").select("page_id", "formula_no", "state", "value", "words")
+
+
+@query(f"{LINKS} SELECT page_id, count(DISTINCT href) AS nxref, count(DISTINCT text) AS ntext, count(DISTINCT CASE WHEN known THEN href END) AS ninter, 0::BIGINT AS nmrow FROM links GROUP BY page_id")
+def q_unit_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.unit_features(html_tree.nodes(_formula_pages(spark, sf_dir)), "page_id")
 
 
 # ---- units and quantities
@@ -388,7 +481,7 @@ def q_unit_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = '<mrow><mi xref="k">kg</mi><mi xref="m">m</mi><msup><mi xref="s">s</mi><mrow><mo>-</mo><mn>2</mn></mrow></msup></mrow>'
 
     def words(markup):
-        m = next(patterns.matches(quantity.unit, html_tree.parse_xml(markup)))
+        m = next(patterns.matches(quantity.GRAMMARS["all"]["Unit"], html_tree.parse_xml(markup)))
         return quantity.unit_words(patterns.label_tree(m), {"k": "kg", "m": "m", "s": "s"})
 
     return ship(spark).createDataFrame([(1, xml)], "id int, x string").select("id", F.udf(words)("x").alias("words"))

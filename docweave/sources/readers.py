@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import io
+import gzip
 import itertools
+import re
+import urllib.error
+import urllib.parse
+import urllib.request
 import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import normal_id, year_month
 
@@ -24,20 +32,6 @@ class BadDocumentId(ValueError):
     pass
 
 
-def unzipped(files: DataFrame, suffix: str = "") -> DataFrame:
-    """(path, member, content) of the members of zip files in rows (path, content); one task a file."""
-
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    for name in z.namelist():
-                        if name.endswith(suffix) and not name.endswith("/"):
-                            yield pa.RecordBatch.from_pydict({"path": [path], "member": [name], "content": [z.read(name)]})
-
-    return files.select("path", "content").mapInArrow(run, "path string, member string, content binary")
-
-
 def zipped_lines(files: DataFrame, suffix: str = "", single: bool = False) -> DataFrame:
     """(path, member, line_no, value) of the text members of zip files in rows (path, content).
 
@@ -98,48 +92,126 @@ def _files(spark: SparkSession, base: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(base).select("path", "content")
 
 
-def all_documents(spark: SparkSession, base: str) -> DataFrame:
-    """(doc_id, yymm, html, prio) of every place a document is in: the folder, data, yymm, data/yymm, then the zips of both.
+def _entries(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Full paths of a folder's entries by name; none where it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().getName(): f.getPath().toString() for f in fs.listStatus(p)} if fs.exists(p) else {}
+
+
+def _opened(path: str):
+    """A file for random access, in a task; any file system that Arrow knows by its scheme."""
+    fs, place = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.open_input_file(place)
+
+
+def zip_members(zips: DataFrame) -> DataFrame:
+    """(path, member) of zip files in rows (path); only their directories are read."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with zipfile.ZipFile(_opened(path)) as z:
+                    names = [n for n in z.namelist() if not n.endswith("/")]
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(names), pa.string()), "member": pa.array(names, pa.string())})
 
-    prio orders the places of one document.
+    return zips.select("path").mapInArrow(run, "path string, member string")
+
+
+def _html_places(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, yymm, path, member, prio) of every place a document is in, by names alone.
+
+    prio orders the places of one document: the folder, data, yymm, data/yymm, the zips of both.  A yymm folder or zip
+    serves ids of that yymm only.
     """
-    root = base.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), f"^(?:file:)?/*{root.split(':')[-1].lstrip('/')}/", "")
-    plain = _files(spark, root, "*.html").withColumn("rel", rel)
-    plain = plain.select(F.regexp_extract("rel", r"([^/]*)\.html$", 1).alias("doc_id"), F.col("content").cast("string").alias("html"), F.when(F.col("rel").rlike(r"^[^/]*$"), 1).when(F.col("rel").rlike(r"^data/[^/]*$"), 2).when(F.col("rel").rlike(r"^[0-9]{4}/[^/]*$"), 3).when(F.col("rel").rlike(r"^data/[0-9]{4}/[^/]*$"), 4).alias("prio"), F.regexp_extract("rel", r"([0-9]{4})/[^/]*$", 1).alias("folder"))
-    zips = _files(spark, root, "*.zip").withColumn("rel", rel).where(F.col("rel").rlike(r"^(data/)?[0-9]{4}\.zip$"))
-    inside = unzipped(zips, ".html").withColumn("rel", rel)
-    packed = inside.select(F.regexp_extract("member", r"([^/]*)\.html$", 1).alias("doc_id"), F.col("content").cast("string").alias("html"), F.when(F.col("rel").startswith("data/"), 6).otherwise(5).alias("prio"), F.regexp_extract("member", r"^([0-9]{4})/", 1).alias("folder"))
-    both = plain.union(packed).where("prio is not null").withColumn("yymm", year_month(F.col("doc_id")))
-    # a yymm folder or zip serves ids of that yymm only
-    return both.where((F.col("prio") <= 2) | (F.col("folder") == F.col("yymm"))).drop("folder")
+    found = spark.createDataFrame([], "path string, member string, prio int, folder string")
+    zips = []
+    for at, folder in enumerate((base.rstrip("/"), f"{base.rstrip('/')}/data")):
+        entries = _entries(spark, folder)
+        flat = [(path, None, at + 1, None) for name, path in entries.items() if name.endswith(".html")]
+        months = [path for name, path in entries.items() if re.fullmatch("[0-9]{4}", name)]
+        zips += [(path, at + 5) for name, path in entries.items() if re.fullmatch(r"[0-9]{4}\.zip", name)]
+        if flat:
+            found = found.union(spark.createDataFrame(flat, found.schema))
+        if months:
+            names = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(months).select("path")
+            found = found.union(names.select("path", F.lit(None).cast("string"), F.lit(at + 3), F.regexp_extract("path", "([^/]*)/[^/]*$", 1)))
+    if zips:
+        packed = spark.createDataFrame(zips, "path string, prio int").repartition(len(zips), "path")
+        inside = zip_members(packed).join(packed, "path").where(F.col("member").rlike(r"^[0-9]{4}/[^/]*\.html$"))
+        month = F.regexp_extract("path", r"([0-9]{4})\.zip$", 1)
+        found = found.union(inside.where(F.col("member").startswith(month)).select("path", "member", "prio", month))
+    named = found.withColumn("doc_id", F.regexp_extract(F.coalesce("member", "path"), r"([^/]*)\.html$", 1))
+    named = named.withColumn("yymm", year_month(F.col("doc_id")))
+    return named.where((F.col("prio") <= 2) | (F.col("folder") == F.col("yymm"))).select("doc_id", "yymm", "path", "member", "prio")
+
+
+def _read(places: DataFrame) -> DataFrame:
+    """places with the markup in column html; only the named files and members are read."""
+
+    def run(batches):
+        path, opened = None, None
+        for batch in batches:
+            out = []
+            for p, member in zip(batch.column("path").to_pylist(), batch.column("member").to_pylist()):
+                if p != path or member is None:
+                    path, opened = p, None
+                if member is None:
+                    with _opened(p) as f:
+                        raw = f.read()
+                else:
+                    opened = opened or zipfile.ZipFile(_opened(p))
+                    raw = opened.read(member)
+                out.append(raw.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "html"])
+
+    # a month's zip is read by several tasks at once, each at its own members
+    dealt = places.repartition("path", F.pmod(F.xxhash64("member"), F.lit(16))).sortWithinPartitions("path", "member")
+    return dealt.mapInArrow(run, StructType([*places.schema.fields, StructField("html", StringType())]))
 
 
 def documents(spark: SparkSession, base: str) -> DataFrame:
-    """(doc_id, yymm, html), each document from its first place."""
-    first = Window.partitionBy("doc_id").orderBy("prio")
-    return all_documents(spark, base).withColumn("_r", F.row_number().over(first)).where("_r = 1").select("doc_id", "yymm", "html")
+    """(doc_id, yymm, html), each document from its first place.  Places are chosen by names, then read."""
+    places = _html_places(spark, base)
+    first = places.groupBy("doc_id", "yymm").agg(F.min_by(F.struct("path", "member"), "prio").alias("f"))
+    return _read(first.select("doc_id", "yymm", "f.path", "f.member")).select("doc_id", "yymm", "html")
 
 
 def open_document(spark: SparkSession, base: str, doc_id: str) -> str:
-    """The markup of one document.  Where the first zip of its month exists and lacks it, the second isn't tried."""
+    """The markup of one document, from the first of its six places; no other file is read.
+
+    Where the first zip of its month exists and lacks it, the second isn't tried.
+    """
     row = spark.range(1).select(normal_id(F.lit(doc_id)).alias("i")).select("i", year_month(F.col("i")).alias("m")).first()
     if row["m"] is None:
         raise BadDocumentId(doc_id)
-    found = all_documents(spark, base).where(F.col("doc_id") == row["i"]).orderBy("prio").first()
-    if found is not None and found["prio"] == 6:
-        first = [r for r in _files(spark, base, f"{row['m']}.zip").select("path").collect() if not r["path"].endswith(f"data/{row['m']}.zip")]
-        found = None if first else found
-    if found is None:
-        raise MissingData(f"{doc_id} isn't under {base}")
-    return found["html"]
+    root, name = base.rstrip("/"), f"{row['i']}.html"
+    tried = [(f"{root}/{at}{name}", None) for at in ("", "data/", f"{row['m']}/", f"data/{row['m']}/")]
+    tried += [(f"{root}/{at}{row['m']}.zip", f"{row['m']}/{name}") for at in ("", "data/")]
+    place = next(((path, member) for path, member in tried if _exists(spark, path)), None)
+    if place is not None:
+        files = _entries(spark, place[0].rpartition("/")[0])
+        place = files[place[0].rpartition("/")[2]], place[1]
+        if place[1] is not None and zip_members(spark.createDataFrame([place[:1]], "path string")).where(F.col("member") == place[1]).isEmpty():
+            place = None
+    if place is None:
+        raise MissingData(f"{doc_id} is at none of {[p if m is None else f'{p}:{m}' for p, m in tried]}")
+    return _read(spark.createDataFrame([place], "path string, member string")).first()["html"]
 
 
 def document_ids(spark: SparkSession, base: str) -> DataFrame:
-    """(doc_id,) of documents in month folders and zips; of two places for one month the first counts, and flat files don't."""
-    both = all_documents(spark, base).where("prio > 2").withColumn("place", F.when(F.col("prio") == 3, 1).when(F.col("prio") == 5, 2).when(F.col("prio") == 4, 3).otherwise(4))
-    first = F.min("place").over(Window.partitionBy("yymm"))
-    return both.withColumn("first", first).where("place = first").select("doc_id").distinct()
+    """(doc_id,) of documents in month folders and zips, by names alone.
+
+    Of several places for one month the first counts, and files outside of months don't.  Without a data folder this is
+    an error.
+    """
+    require(spark, base, "data")
+    places = _html_places(spark, base).where("prio > 2")
+    # the folder of a place comes before its zip, all of the base before data
+    rank = F.element_at(F.array(*[F.lit(x) for x in (1, 3, 2, 4)]), F.col("prio") - 2)
+    ranked = places.withColumn("rank", rank)
+    first = ranked.groupBy("yymm").agg(F.min("rank").alias("rank"))
+    return ranked.join(first, ["yymm", "rank"], "left_semi").select("doc_id").distinct()
 
 
 def severities(spark: SparkSession, base: str) -> DataFrame:
@@ -169,6 +241,26 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     return last.select("doc_id", F.filter(F.split(F.trim("c"), r"\s+"), lambda x: x != "").alias("cats"))
 
 
+def fetched_csv(endpoint: str, query: str, folder: str, name: str, timeout: float = 300) -> str:
+    """Path of the gzipped CSV answer of a query service; asked only where the file isn't there yet.
+
+    An answer without success is an error, and a broken download leaves no file.
+    """
+    target = Path(folder, f"{name}.csv.gz")
+    if not target.exists():
+        request = urllib.request.Request(f"{endpoint}?{urllib.parse.urlencode({'query': query})}", headers={"Accept": "text/csv"})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                body = answer.read()
+        except urllib.error.HTTPError as e:
+            raise MissingData(f"{endpoint} answered {e.code}") from e
+        target.parent.mkdir(parents=True, exist_ok=True)
+        part = target.with_suffix(".part")
+        part.write_bytes(gzip.compress(body, 3))
+        part.rename(target)
+    return str(target)
+
+
 def checked_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV (or .csv.gz) whose first columns must have these names."""
     df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)

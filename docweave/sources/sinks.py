@@ -31,7 +31,9 @@ def write_occurrences(occurrences: DataFrame, path: str) -> None:
     rows.repartition("doc").write.mode("overwrite").partitionBy("doc").option("compression", "gzip").text(path)
 
 
-def write_ids(ids: DataFrame, path: str, id_col: str = "doc_id") -> None:
+def write_ids(ids: DataFrame, path: str, id_col: str = "doc_id", order_col: str | None = None) -> None:
+    """One id a line; with order_col the files together have them in its order, otherwise each keeps that of its rows."""
+    ids = ids.orderBy(order_col) if order_col else ids
     ids.select(F.col(id_col).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
