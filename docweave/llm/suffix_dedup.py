@@ -298,7 +298,7 @@ def _occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _found(docs: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
     """Rows FOUND: how far classes are repeated elsewhere."""
     grams = classes.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("n") == 1).alias("singles"))
-    grams = grams.select("g", "size") if every else grams.where("size > 1 and singles > 0").select("g", "size")
+    grams = stored(grams.select("g", "size") if every else grams.where("size > 1 and singles > 0").select("g", "size"), "open-grams")
     open_ = stored(classes.join(grams, "g"), "open-classes")
     wanted = open_.groupBy("k", "t").agg(F.collect_list(F.struct("g", "c", "n", "p", "size")).alias("wanted"))
     contexts = docs.join(wanted, ["k", "t"]).sortWithinPartitions("k", "t").mapInArrow(_contexts, _ddl(CONTEXT))
@@ -308,7 +308,7 @@ def _found(docs: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
     if not open_.where(F.col("size") > GROUP).isEmpty():
         out = out.unionByName(_split_rows(contexts.where(F.col("size") > GROUP).drop("size"), every))
     out = stored(out, "found")
-    release(open_, contexts)
+    release(grams, open_, contexts)
     return out
 
 
