@@ -1,21 +1,24 @@
 """Canonical exact digests: one fingerprint for texts that differ in form only.
 
 A text is normalised (NFKC, case folding, NFKC again), runs of white space become one blank and the ends are stripped;
-the fingerprint is the 128-bit xxh3 digest of that.  Where two canonical texts are at hand (a document, its edited text,
-its neighbour) equal digests are confirmed by comparing bytes.  Across tasks the members of a digest bucket are compared
-by the SHA-256 of their canonical bytes, because bringing all equal texts together again would move the whole corpus
-once more; should two differ, each distinct text gets its own suffix.
+the fingerprint is the 128-bit xxh3 digest of that.  Inside a bucket of equal digests bytes decide: documents are grouped
+by digest and canonical text, which Spark compares byte by byte, copies being collapsed in each task before they are
+moved.  A document, its edited text and its neighbour are compared directly.  Where different texts share a digest, all
+texts of that digest get the SHA-256 of their canonical bytes behind it, edited ones too.
 
 Neighbours (the next document by descending id) come from one range-wise shuffle: bounds are drawn from a bounded
 sample, the first row of each range is sent to the range before it as well, and each range is streamed in order.
 
 Defined results: null texts are empty; null ids come last, equal ids are ordered by text hash; repeated rows are
-neighbours of each other; after the last row follows the first, so a single row follows itself; likeness is 1 or 0.
+neighbours of each other; after the last row follows the first, so a single row follows itself; likeness is 1 or 0; an
+empty table gives an empty result; extra columns are ignored, whatever their names.  Memory: one text with its canonical
+and edited forms at a time, some eight times its length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import unicodedata
 
 import numpy as np
@@ -24,9 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import partitions, stored
+from .runtime import bounded_sample, partitions, stored
 
 LOWEST = -(2**63)
+SAMPLE = 1 << 16
+RANGE_BYTES = 64 << 20
 
 
 def canonical(text: str) -> bytes:
@@ -59,11 +64,14 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("k"), F.xxhash64(text).alias("h"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
 
 
-def with_next_text(rows: DataFrame, count: int) -> DataFrame:
+def with_next_text(rows: DataFrame) -> DataFrame:
     """Rows dealt to ranges: (range, halo, k, h, id, text), sorted so that each row's follower in the partition is its next document."""
-    sample = rows.select("k", "h").orderBy(F.xxhash64("k", "h"), "k", "h").limit(32 * count).collect()
+    total = rows.count()
+    sample = bounded_sample(rows.select("k", "h", F.octet_length("text").alias("n")), ["k", "h"], SAMPLE, total).collect()
+    size = total * sum(r["n"] for r in sample) / max(1, len(sample))
+    count = min(SAMPLE // 4, max(2 * partitions(rows.sparkSession), math.ceil(size / RANGE_BYTES)))
     sample = sorted({(r["k"], r["h"]) for r in sample})
-    bounds = sample[32::32] if len(sample) > 64 else []
+    bounds = sorted({sample[len(sample) * i // count] for i in range(1, count)}) if len(sample) > 2 * count else []
     of = _ranges(bounds)
 
     def heads(batches):
@@ -80,7 +88,8 @@ def with_next_text(rows: DataFrame, count: int) -> DataFrame:
     top = rows.select("k", "h").mapInArrow(heads, "n int, k long, h long").groupBy("n").agg(F.max(F.struct("k", "h")).alias("t")).collect()
     # one head a range, so as many rows as there are ranges; each goes to the next higher range that has rows
     full = sorted(r["n"] for r in top)
-    goes = {(r["t"]["k"], r["t"]["h"]): (full[full.index(r["n"]) + 1] if r["n"] != full[-1] else full[0]) for r in top}
+    higher = dict(zip(full, full[1:] + full[:1]))
+    goes = {(r["t"]["k"], r["t"]["h"]): higher[r["n"]] for r in top}
 
     def deal(batches):
         for batch in batches:
@@ -95,23 +104,24 @@ def with_next_text(rows: DataFrame, count: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(heads)), pa.int32()), *extra.columns], names=own.schema.names)
 
     dealt = rows.mapInArrow(deal, "n int, halo int, k long, h long, id long, text string")
-    return dealt.repartition("n").sortWithinPartitions("n", "halo", F.desc("k"), F.desc("h"))
+    return dealt.repartition(count, "n").sortWithinPartitions("n", "halo", F.desc("k"), F.desc("h"))
 
 
-RESULT = "id long, n_chars long, edited_sha256 string, fp string, sha binary, edited_fp string, near_edited double, near_next double"
+RESULT = {"id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fp": pa.string(), "sha": pa.string(), "edited_fp": pa.string(), "edited_sha": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+RESULT_DDL = "id long, n_chars long, edited_sha256 string, fp string, sha string, edited_fp string, edited_sha string, near_edited double, near_next double"
+
+
+def _sha(raw: bytes) -> str:
+    return hashlib.sha256(raw).hexdigest()
 
 
 def _digests(batches):
-    held = None
-    done = [[] for _ in range(8)]
+    held, done = None, []
 
     def flush():
-        names = ["id", "n_chars", "edited_sha256", "fp", "sha", "edited_fp", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.float64(), pa.float64()]
-        out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(done, kinds)], names=names)
-        for v in done:
-            v.clear()
-        return out
+        columns = list(zip(*done)) if done else [[]] * len(RESULT)
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, RESULT.values())], names=list(RESULT))
 
     for batch in batches:
         for n, halo, _, _, i, text in zip(*(c.to_pylist() if c.type != pa.string() else c for c in batch.columns)):
@@ -124,23 +134,35 @@ def _digests(batches):
                 changed = canonical(edited)
                 own = canonical(text)
                 a, b, c = digest(last_own), digest(changed), digest(own)
-                for v, x in zip(done, (last_id, len(last), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), a, hashlib.sha256(last_own).digest(), b, float(a == b and last_own == changed), float(a == c and last_own == own))):
-                    v.append(x)
-                if len(done[0]) >= 2000:
+                done.append((last_id, len(last), _sha(edited.encode("utf-8", "surrogatepass")), a, _sha(last_own), b, _sha(changed), float(a == b and last_own == changed), float(a == c and last_own == own)))
+                if len(done) >= 2000:
                     yield flush()
             held = None if halo else (n, i, text, canonical(text) if own is None else own)
     yield flush()
 
 
+def _canonical_rows(batches):
+    for batch in batches:
+        forms = [canonical(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([digest(f) for f in forms], pa.string()), pa.array(forms, pa.binary())], names=["id", "fp", "form"])
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, first_id, n_equal) for each row.
 
     first_id is the smallest id of equal canonical texts, n_equal their number.
     """
     rows = _ordered(docs, id_col, text_col)
-    found = stored(with_next_text(rows, 2 * partitions(docs.sparkSession)).mapInArrow(_digests, RESULT), "digests")
-    buckets = found.groupBy("fp", "sha").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_equal"))
-    clash = buckets.groupBy("fp").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    named = buckets.join(clash, "fp", "left").withColumn("name", F.when(F.col("texts").isNull(), F.col("fp")).otherwise(F.concat_ws("-", "fp", F.hex("sha")))).drop("texts")
-    out = found.join(named, ["fp", "sha"])
-    return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", F.col("name").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "first_id", "n_equal")
+    found = stored(with_next_text(rows).mapInArrow(_digests, RESULT_DDL), "digests")
+    forms = rows.select("id", "text").mapInArrow(_canonical_rows, "id long, fp string, form binary")
+    # equal rows here are equal in every byte
+    equal = forms.groupBy("fp", "form").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_equal"))
+    equal = stored(equal.select("fp", F.sha2("form", 256).alias("sha"), "first_id", "n_equal"), "equal-texts")
+    named = equal.select("fp", "sha").union(found.select("edited_fp", "edited_sha"))
+    shared = stored(named.groupBy("fp").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").select("fp"), "shared-digests")
+    out = found.join(equal, ["fp", "sha"]).withColumnsRenamed({"fp": "fingerprint", "edited_fp": "edited_fingerprint"})
+    if not shared.isEmpty():
+        for name, sha in (("fingerprint", "sha"), ("edited_fingerprint", "edited_sha")):
+            full = F.when(F.col("shared").isNull(), F.col(name)).otherwise(F.concat_ws("-", name, sha))
+            out = out.join(shared.select(F.col("fp").alias(name), F.lit(1).alias("shared")), name, "left").withColumn(name, full).drop("shared")
+    return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "first_id", "n_equal")

@@ -3,7 +3,10 @@
 import hashlib
 import itertools
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -224,6 +227,48 @@ def test_fingerprints(docs, none):
     assert fingerprints(none).count() == 0
 
 
+def test_bytes_decide_where_digests_clash(spark, tmp_path):
+    """Runs with a digest of two values: equal texts still share fingerprints, different ones don't, edited texts included."""
+    code = """
+import docweave.llm.fingerprints as f
+f.digest = lambda raw: str(len(raw) % 2)
+"""
+    rows = [(1, "Aa b"), (2, "aa  B"), (3, "zz y"), (4, "aa b"), (5, None), (6, "q"), (7, ""), (8, "r")]
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import os, sys, tempfile
+sys.path.insert(0, {str(Path(queries.__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+{code}
+# workers fork from a daemon that must see the patched digest, so it is patched where the functions run
+real = f._digests, f._canonical_rows
+def patched(g):
+    def run(batches):
+        import docweave.llm.fingerprints as w
+        w.digest = lambda raw: str(len(raw) % 2)
+        yield from getattr(w, g)(batches)
+    return run
+f._digests, f._canonical_rows = patched("_digests"), patched("_canonical_rows")
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+for r in f.fingerprints(spark.createDataFrame({rows!r}, "doc_id long, text string")).collect():
+    print("ROW", r["doc_id"], r["fingerprint"], r["edited_fingerprint"], r["n_equal"], r["first_id"], r["near_edited"])
+""")
+    out = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=300).stdout
+    got = {int(x[1]): x[2:] for x in (line.split() for line in out.splitlines() if line.startswith("ROW"))}
+    assert len(got) == len(rows)
+    ordered = sorted(((i, t or "") for i, t in rows), reverse=True)
+    prints = {}
+    for k, (i, t) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        prints.setdefault(canonical(t), set()).add(got[i][0])
+        prints.setdefault(canonical(edited), set()).add(got[i][1])
+        assert float(got[i][4]) == float(canonical(t) == canonical(edited))
+        same = [j for j, u in ordered if canonical(u) == canonical(t)]
+        assert (int(got[i][2]), int(got[i][3])) == (len(same), min(same))
+    assert all(len(p) == 1 for p in prints.values()) and len({next(iter(p)) for p in prints.values()}) == len(prints)
+
+
 def test_mixing(docs, none, spark, sf_dir):
     rows = mix_sources(docs.drop("size")).collect()
     assert len(rows) == len(ROWS) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
