@@ -13,21 +13,30 @@ Steps, all of them linear in the number of documents:
    none with probability 4e-5), those of lists still long under twelve triples (2e-4).  What is long even then agrees on
    three coordinates; it is linked whole, without counting.  These links are candidates only: they decide which classes
    are compared, not which are equal.  A pair missed in a long list is lost only if no other member joins it.
-4. Connected candidates are clusters.  Their sets are read again from the texts and every pair inside a cluster is
-   tested exactly; large clusters are cut into pairs of blocks.  Only a spanning forest of the true links leaves a task.
+4. Connected candidates are clusters.  Their sets are read again from the texts and tested exactly, counting common
+   shingles through the cluster's inverted lists; pairs joined already aren't tested, which loses no component.  Clusters
+   above ``BLOCK`` are cut into blocks that meet the same ``LEADERS`` each; what is then outside of the cluster's largest
+   component meets every block.  So a cluster of near copies costs a row a member.
 5. Connected components of the true links are the groups.
 
-Defined results: null or wordless texts have ``n_shingles`` 0 and stand alone; a null id gets a null component and is
-kept; repeated rows (same id, same text) share their component and are all kept if their id is the component's.
-An id that comes with different texts counts as one document: the groups of its texts are joined.
-Very long texts are held one at a time.  Extra columns are ignored.
+With ``exact`` no chance is left: instead of 2 and 3 every class is posted under its rarest shingles (by their counts
+over all classes), one more than may lack in a set of the required similarity, so that linked classes always meet; each
+list is then tested like a cluster in 4.  Sets are carried to each list, so this moves several times as much.
+
+Defined results: null or wordless texts have ``n_shingles`` 0 and stand alone; component_id is the smallest id that isn't
+null in the group, null where all are, and rows with that id are kept, so repeated rows (same id, same text) are kept or
+not together.  Rows of one id with different texts are documents of their own, told apart by ``text_hash``.  An empty
+table gives an empty result.  Very long texts are held one at a time.  Extra columns are ignored, whatever their names.
+Classes are named by 64 bits of their set's hash, and shingles and texts compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -37,14 +46,16 @@ from .runtime import stored
 COORDINATES = 64
 POSTED = 8
 LIST = 96
-BLOCK = 192
+BLOCK = 2048
+LOWEST = -(2**63)
+LEADERS = 32
 # first coordinate, width and number of bands under which classes of long lists are posted again, round by round
 BANDS = ((POSTED, 2, 10), (POSTED + 20, 3, 12), (0, 0, 0))
 _rng = np.random.Generator(np.random.PCG64(7))
 FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 SHIFTS = _rng.integers(1, 2**63, COORDINATES, dtype=np.int64).astype(U64)
 
-FEATURES = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("posts", pa.list_(pa.int64())), ("sig", pa.binary())])
+FEATURES = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("posts", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def signature(values: np.ndarray) -> np.ndarray:
@@ -68,14 +79,14 @@ def _features(width: int):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for a, b, buf, offs in chunks(*text_buffer(batch.column(1))):
+            ids, hashes = batch.column(0), batch.column(1)
+            for a, b, buf, offs in chunks(*text_buffer(batch.column(2))):
                 sets = shingle_sets(buf, offs, width)
                 keys = [set_key(s) for s in sets]
                 sigs = [signature(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                        ids.slice(a, b - a), hashes.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                         pa.array([[] if s is None else mix(s[:POSTED] + salt).view(np.int64) for s in sigs], pa.list_(pa.int64())),
                         pa.array([b"" if s is None else (mix(s) >> U64(48)).astype(np.uint16).tobytes() for s in sigs], pa.binary()),
                     ],
@@ -134,7 +145,8 @@ def _candidates(classes: DataFrame, matches: int) -> DataFrame:
     lists = classes.select("id", "sig", F.explode("posts").alias("k"))
     found = []
     for first, width, bands in BANDS:
-        counts = lists.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).where("m > 1")
+        # written first, so that a long list can be split over tasks in the join
+        counts = stored(lists.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).where("m > 1"), "list-lengths")
         counted = lists.join(counts, "k")
         short = counted.where(F.col("m") <= LIST)
         found.append(
@@ -144,72 +156,69 @@ def _candidates(classes: DataFrame, matches: int) -> DataFrame:
         if not bands:
             found.append(long.select(F.col("hub").alias("a"), F.col("id").alias("b")))
             break
+        if counts.where(F.col("m") > LIST).isEmpty():
+            break
         keys = [F.xxhash64(F.lit(c), F.substring("sig", 2 * c + 1, 2 * width)) for c in range(first, first + bands * width, width)]
         again = long.groupBy("id").agg(F.first("sig").alias("sig"))
         lists = stored(again.select("id", "sig", F.explode(F.array(*keys)).alias("k")), "lists")
-        if lists.isEmpty():
-            break
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+    return functools.reduce(DataFrame.union, found)
 
 
 def _sets(width: int):
-    """Full sets of the wanted texts; a row whose text isn't the wanted one (same id, other text) goes."""
+    """Full sets of the wanted texts; of repeated rows, which come one after the other, the first counts."""
 
     def run(batches):
+        last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes = batch.column("id").to_numpy()
+            new = np.append(nodes[0] != last, nodes[1:] != nodes[:-1])
+            last = nodes[-1]
+            batch = batch.filter(pa.array(new))
             for a, b, buf, offs in chunks(*text_buffer(batch.column("text"))):
                 sets = shingle_sets(buf, offs, width)
-                part = batch.slice(a, b - a)
-                want = list(zip(part.column("s1").to_pylist(), part.column("s2").to_pylist()))
-                mask = pa.array([set_key(s) == w for s, w in zip(sets, want)], pa.bool_())
-                rows = pa.RecordBatch.from_arrays([part.column("id"), part.column("cluster"), part.column("size"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "cluster", "size", "set"])
-                yield rows.filter(mask)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
     return run
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections: a 0/1 matrix times itself, some columns at a time."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[column]
-    owner, column = owner[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((n, n), np.float32)
-    step = 4096
-    total = int(column[-1]) + 1 if len(column) else 0
-    for a in range(0, total, step):
-        lo, hi = np.searchsorted(column, [a, a + step])
-        dense = np.zeros((n, min(step, total - a)), np.float32)
-        dense[owner[lo:hi], column[lo:hi] - a] = 1
-        out += dense @ dense.T
-    return np.rint(out).astype(np.int64)
-
-
-def _confirm(percent: int):
+class Inverted:
+    """Lists of the members that have each shingle; counts what a member has in common with all others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        self.owner = owner[order]
+        self.start = np.append(0, np.cumsum(np.bincount(column)))
+        self.column, self.first = column, np.append(0, np.cumsum(self.sizes))
+
+    def common(self, i: int) -> np.ndarray:
+        c = self.column[self.first[i] : self.first[i + 1]]
+        a, n = self.start[c], self.start[c + 1] - self.start[c]
+        at = np.repeat(a - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.sizes))
+
+
+def _confirm(keys: list[str], percent: int):
+    """A spanning forest of the true links of each group of rows (id, set)."""
+
     def run(batches):
         pairs = []
-        for group in groups_of(batches, ["cluster", "i", "j"]):
+        for group in groups_of(batches, keys):
             ids, first = np.unique(group.column("id").to_numpy(), return_index=True)
             if len(ids) < 2:
                 continue
-            raw = group.column("set").take(pa.array(first)).to_pylist()
-            sets = [np.frombuffer(r, U64) for r in raw]
-            sizes = np.array([len(s) for s in sets])
-            if len(sets) == 2:
-                common = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]] * 2)
-                common = np.maximum(common, common.T)
-            else:
-                common = overlaps(sets)
-            linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-            root = _forest(len(ids), lambda i, rest: linked[i, rest])
+            lists = Inverted([np.frombuffer(r, U64) for r in group.column("set").take(pa.array(first)).to_pylist()])
+            sizes = lists.sizes
+
+            def linked(i, rest):
+                common = lists.common(i)[rest]
+                return 100 * common >= percent * (sizes[rest] + sizes[i] - common)
+
+            root = _forest(len(ids), linked)
             own = root != np.arange(len(ids))
             pairs.append((ids[root[own]], ids[own]))
             if len(pairs) >= 4096:
@@ -220,32 +229,85 @@ def _confirm(percent: int):
     return run
 
 
-def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row of docs: groups of texts whose sets of ``width``-word shingles have at least ``percent`` hundredths in common."""
+def _grouped_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirm(keys, percent), "a long, b long")
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """True links inside clusters, as pairs of ids that connect what is connected; members (cluster, id), sets (id, set)."""
+    sized = stored(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cluster-sizes")
+    rows = members.join(sized, "cluster").join(sets, "id").select("cluster", "size", "id", "set")
+    small = _grouped_links(rows.where(F.col("size") <= BLOCK).select("cluster", "id", "set"), ["cluster"], percent)
+    large = sized.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return small
+    rows = stored(rows.where(F.col("size") > BLOCK), "large-clusters")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    # some LEADERS rows of each cluster, by hash, whatever its size
+    leader = F.pmod(F.xxhash64("id", F.lit(1)), F.col("size")) < LEADERS
+    place = F.explode(F.when(leader, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block)))
+    first = stored(_grouped_links(rows.select("cluster", place.alias("i"), "id", "set"), ["cluster", "i"], percent), "block-links")
+    roots = rows.select("cluster", "id", "size").join(components(first), F.col("id") == F.col("node"), "left").select("cluster", "id", "size", F.coalesce("root", "id").alias("root"))
+    counts = roots.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("m"))
+    main = stored(counts.groupBy("cluster").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("size"), F.max("m").alias("most")), "main-components")
+    apart = stored(roots.join(main.select("cluster", "main"), "cluster").where("root <> main").select("cluster", "id"), "apart")
+    if apart.isEmpty():
+        return small.union(first)
+    # every block meets those apart, BLOCK of them at a time
+    groups = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
+    facing = rows.drop("size").join(main.select("cluster", "size", "most").where("size > most"), "cluster").withColumn("groups", groups)
+    apart = apart.withColumn("apart", F.lit(1))
+    facing = facing.join(apart, ["cluster", "id"], "left").withColumn("own", F.pmod(F.xxhash64("id", F.lit(2)), F.col("groups")).cast("int"))
+    as_block = facing.select("cluster", block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("j"), "id", "set")
+    as_apart = facing.where("apart = 1").select("cluster", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.col("own").alias("j"), "id", "set")
+    second = _grouped_links(as_block.union(as_apart), ["cluster", "i", "j"], percent)
+    return small.union(first).union(second)
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(cluster, id): every class in the lists of its rarest shingles, one more than a linked class may lack."""
+    owned = stored(sets.mapInArrow(_explode_sets, "id long, n long, shingle long"), "shingles")
+    counts = owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "shingle")
+    ranked = owned.join(stored(counts, "shingle-counts"), "shingle").withColumn("r", F.row_number().over(order))
+    # two sets of at least percent hundredths have that share of the larger one in common
+    longest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return stored(ranked.where((F.col("r") <= longest) & (F.col("df") > 1)).select(F.col("shingle").alias("cluster"), "id"), "prefixes")
+
+
+def _explode_sets(batches):
+    for batch in batches:
+        for i, raw in zip(batch.column("id").to_pylist(), batch.column("set").to_pylist()):
+            s = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["id", "n", "shingle"])
+
+
+def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, kept, text_hash) for each row of docs: groups of texts whose sets of ``width``-word shingles have at least ``percent`` hundredths in common."""
     s = percent / 100
     matches = int(np.floor(COORDINATES * s - 4.5 * np.sqrt(COORDINATES * s * (1 - s))))
-    return _dedup(docs, id_col, text_col, width, percent, matches)
-
-
-def _dedup(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, matches: int) -> DataFrame:
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stored(base.mapInArrow(_features(width), "id long, n long, s1 long, s2 long, posts array<long>, sig binary"), "signatures")
-    sound = rows.where("id is not null and n > 0")
-    classes = stored(sound.groupBy("s1", "s2").agg(F.min(F.struct("id", "posts", "sig")).alias("c")).select("s1", "s2", "c.*"), "classes")
-    clusters = components(_candidates(classes, matches))
-    sized = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = clusters.join(sized, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "size")
-    wanted = members.join(classes.select("id", "s1", "s2"), "id")
-    texts = wanted.join(base, "id").select("id", "cluster", "size", "s1", "s2", F.coalesce("text", F.lit("")).alias("text"))
-    sets = texts.mapInArrow(_sets(width), "id long, cluster long, size long, set binary")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    blocks = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    blocks = blocks.select("id", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set")
-    links = blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirm(percent), "a long, b long")
-    groups = components(links)
-    named = classes.select("s1", "s2", "id").join(groups, F.col("id") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "id").alias("component_id"))
-    alone = rows.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"))
-    joined = sound.select("id", "n", "s1", "s2").join(named, ["s1", "s2"]).select("id", "n", "component_id")
-    out = joined.union(alone)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.col(id_col).cast("long")
+    base = docs.select(own.alias("id"), F.coalesce(own, F.lit(LOWEST)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = stored(base.select("id", "h", "text").mapInArrow(_features(width), "id long, h long, n long, s1 long, s2 long, posts array<long>, sig binary"), "signatures")
+    sound = rows.where("n > 0")
+    # a class is named by its set; of the texts that have it one is read again
+    row = F.struct(F.col("id").isNull().alias("nameless"), F.coalesce("id", F.lit(LOWEST)).alias("k"), "h", "posts", "sig")
+    classes = sound.groupBy("s1", "s2").agg(F.min(row).alias("c"), F.min("id").alias("least"))
+    classes = stored(classes.select(F.col("s1").alias("id"), "s2", "c.k", "c.h", "c.posts", "c.sig", "least"), "classes")
+    members = classes.select("id") if exact else stored(components(_candidates(classes, matches)).select(F.col("node").alias("id"), F.col("root").alias("cluster")), "clusters")
+    wanted = classes.join(members.select("id"), "id", "left_semi").select("id", "k", "h")
+    texts = base.select("k", "h", "text").join(wanted, ["k", "h"]).sortWithinPartitions("k", "h", "id").select("id", "text")
+    sets = stored(texts.mapInArrow(_sets(width), "id long, set binary"), "sets")
+    if exact:
+        members = _prefixes(sets, percent)
+    groups = components(_links(members, sets, percent))
+    named = classes.select("id", "s2", "least").join(groups, F.col("id") == F.col("node"), "left").select("id", "s2", "least", F.coalesce("root", "id").alias("root"))
+    named = stored(named, "classes-by-group")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(stored(smallest, "groups"), "root").select(F.col("id").alias("s1"), "s2", "component_id")
+    alone = rows.where("n = 0").select("id", "h", "n", F.col("id").alias("component_id"))
+    out = sound.select("id", "h", "n", "s1", "s2").join(named, ["s1", "s2"]).select("id", "h", "n", "component_id").union(alone)
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), F.col("h").alias("text_hash"))

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.llm import arc_to_warc, packing, queries, secret_scan, suffix_dedup
+from docweave.llm import minhash_dedup as minhash_kernel
 from docweave.llm.fingerprints import canonical, fingerprints
 from docweave.llm.minhash_dedup import minhash_dedup
 from docweave.llm.mixing import emit_copies, mix_sources
@@ -70,13 +71,21 @@ def _plain_groups(rows, width, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def test_near_dedup_cases(docs, none):
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup(docs, width=2).collect()]
-    want = _plain_groups({(i, t) for i, t, _ in ROWS if i is not None}, 2, 80)
-    assert len(got) == len(ROWS)
-    assert {(i, n, c) for i, n, c, _ in got if i is not None} == {(i, *v) for i, v in want.items()}
-    assert all(k == (c is None or i == c) for i, _, c, k in got)
-    assert minhash_dedup(none).count() == 0
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_dedup_cases(spark, docs, none, exact):
+    # rows are documents of their own, whatever their id; the smallest id that isn't null names a group
+    extra = [(20, BASE, "x"), (20, _text(77, 40), "x"), (21, _text(77, 40) + " w1", "x"), (None, BASE + " more", None), (None, _text(88, 30), None), (None, _text(88, 30), None)]
+    rows = [*ROWS, *extra]
+    both = docs.union(spark.createDataFrame([(i, t, "en", s, 0, 9.0, 9, 9) for i, t, s in extra], SCHEMA))
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup(both, width=2, exact=exact).collect()]
+    groups = _plain_groups(list(enumerate(t for _, t, _ in rows)), 2, 80)
+    least = {}
+    for k, (n, root) in groups.items():
+        if rows[k][0] is not None:
+            least[root] = min(least.get(root, rows[k][0]), rows[k][0])
+    want = [(rows[k][0], n, least.get(root) if n else rows[k][0], (least.get(root) if n else rows[k][0]) == rows[k][0]) for k, (n, root) in groups.items()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert minhash_dedup(none, exact=exact).count() == 0
 
 
 def test_near_dedup_whole_table(spark, sf_dir):
@@ -86,19 +95,35 @@ def test_near_dedup_whole_table(spark, sf_dir):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
-def test_large_group_of_near_copies(spark):
-    rng = np.random.default_rng(5)
+def _near_copies(count, seed=5):
+    rng = np.random.default_rng(seed)
     base = [WORDS[i] for i in rng.integers(0, 400, 120)]
     rows = []
-    for i in range(700):
+    for i in range(count):
         w = list(base)
         for k in rng.integers(0, 120, rng.integers(0, 14)):
             w[k] = f"z{i}q{k}"
         rows.append((i, " ".join(w)))
-    got = minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    # neither near nor far: they keep lists and clusters together but are linked with few
+    return rows + [(5000 + i, " ".join(base[i : i + 60]) + " " + _text(300 + i, 25)) for i in range(40)]
+
+
+@pytest.mark.parametrize("block, length, exact", [(2048, 96, False), (50, 96, False), (50, 8, False), (16, 4, True), (2048, 96, True)])
+def test_large_group_of_near_copies(spark, monkeypatch, block, length, exact):
+    monkeypatch.setattr(minhash_kernel, "BLOCK", block)
+    monkeypatch.setattr(minhash_kernel, "LIST", length)
+    rows = _near_copies(400)
+    got = minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=2, exact=exact).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _plain_groups(rows, 2, 80)
 
 
+def test_exact_links_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for width in (2, 5):
+        got = minhash_dedup(docs, width=width, exact=True).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _plain_groups([tuple(r) for r in docs.collect()], width, 80)
+
+
 def _plain_cut(rows):
     raw = [(i, (t or "").encode()) for i, t in rows]
     seen: dict[bytes, int] = {}
