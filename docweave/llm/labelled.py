@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .kernels import chunks, text_buffer
+from .runtime import bounded_sample
 
 
 def remainder(col: str, n: int) -> Column:
@@ -25,7 +26,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, usable: Colum
     contradicting labels, null ids and null labels are left out; of repeated ids one text is used.
     """
     one = labels.where(usable & F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
-    picked = one.orderBy(F.xxhash64(id_col), id_col).limit(limit).select(F.col(id_col).alias("_id"), F.col("y").cast("int").alias("y"))
+    picked = bounded_sample(one, [id_col], limit, one.count()).select(F.col(id_col).alias("_id"), F.col("y").cast("int").alias("y"))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(picked), "_id")
     found = texts.groupBy("_id").agg(F.min("t").alias("t"), F.first("y").alias("y")).orderBy("_id").select("t", "y").toArrow()
     return found.column("t").to_pylist(), found.column("y").to_pylist()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import groups_of
-from .runtime import partitions, stored
+from .runtime import bounded_sample, partitions, stored
 
 PROJECTED = 12
 LEAF = 64
@@ -184,7 +184,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     dims, total, largest = sizes[0]["dims"], sizes[0]["n"], math.sqrt(sizes[0]["most"])
     rows = rows.where(F.size("v") == dims)
     project = matrix(dims + 1)
-    sample = rows.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).select("v").toArrow()
+    sample = bounded_sample(rows, ["id", "v"], SAMPLE, total).select("v").toArrow()
     cells = Cells(augmented(_vectors(sample.column(0)), largest) @ project, math.ceil(total / SHARD))
 
     def place(batches):
@@ -195,14 +195,10 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(home, pa.int32())], names=["id", "v", "q", "cell", "home"])
 
     placed = stored(rows.mapInArrow(place, "id long, v array<double>, q boolean, cell int, home int"), "cells")
-    crowd = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
-    crowd = {r["cell"]: r["shards"] for r in crowd.collect()}  # a row a cell, n / SHARD at most
-    shards = F.element_at(F.array(*[F.lit(crowd.get(c, 1)) for c in range(len(cells.low))]), F.col("cell") + 1) if len(cells.low) <= 4096 else None
-    if shards is None:
-        shards = F.element_at(F.create_map(*[F.lit(x) for c, n in crowd.items() if n > 1 for x in (c, n)] or [F.lit(-1), F.lit(1)]), F.col("cell"))
-        shards = F.coalesce(shards, F.lit(1))
+    # a row a cell, and there are no more cells than sampled rows
+    crowd = F.broadcast(stored(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards")), "cell-sizes"))
     none = F.lit(None)
-    data = placed.select("cell", F.pmod(F.xxhash64("id", "v"), shards).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v", none.cast("double").alias("kth"))
+    data = placed.join(crowd, "cell").select("cell", F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v", none.cast("double").alias("kth"))
     queries = placed.where("q")
 
     def search(batches):
@@ -228,7 +224,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
         return both.repartition(partitions(spark), "cell", "shard").sortWithinPartitions("cell", "shard", "kind").mapInArrow(search, "query_id long, id long, score double")
 
     def at_shards(df: DataFrame) -> DataFrame:
-        return df.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1))).select("cell", F.col("shard").cast("int"), F.lit(1).alias("kind"), "id", "v", "kth")
+        # a cell without rows of its own has nothing to be searched
+        return df.join(crowd, "cell").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("cell", F.col("shard").cast("int"), F.lit(1).alias("kind"), "id", "v", "kth")
 
     def route(begin: int, end: int):
         def run(batches):

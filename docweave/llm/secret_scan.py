@@ -19,7 +19,11 @@ positives (hashes of commits, identifiers, card numbers, paths, versions, long w
 ``find_secrets`` returns every candidate with its score; ``redact_secrets`` replaces those accepted in the texts.
 
 Defined results: null and empty texts have no candidates (redaction leaves null null); repeated rows give repeated
-findings; a run without an inner '=' is one candidate at any length.  Whole texts are read.  Offsets are in code points.
+findings; a run without an inner '=' is one candidate at any length; equal strings in equal contexts have equal scores,
+and a score of exactly the threshold counts as a secret; an empty table gives an empty result.  ``find_secrets`` ignores
+extra columns, ``redact_secrets`` keeps them, whatever their names.  Whole texts are read, one of any length at a time,
+with some 30 bytes of work space a byte.  Offsets are in code points.  Neighbouring words are looked for in the
+``CONTEXT`` bytes before a candidate and the eight after it.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks, text_buffer, word_ranges
+from .runtime import bounded_sample
 
 SHORTEST = 8
 SHORTEST_VALUE = 2
@@ -462,7 +467,7 @@ def _detector(docs: DataFrame, findings: DataFrame | None, limit: int):
     detector = None
     if findings is not None:
         own = findings.select("before", "candidate", "after", "label").where("candidate is not null and length(candidate) > 1 and label in (0, 1)")
-        picked = own.orderBy(F.xxhash64("before", "candidate", "after", "label"), "candidate").limit(limit).collect()
+        picked = bounded_sample(own, ["before", "candidate", "after", "label"], limit, own.count()).collect()
         if picked:
             detector = Detector([(r["before"] or "", r["candidate"], r["after"] or "", int(r["label"])) for r in picked])
     return docs.sparkSession.sparkContext.broadcast(detector or _supplied())
@@ -508,10 +513,8 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[SEC
                         else:
                             own.append([s, e])
                 for i, own in spans.items():
-                    t = buf[offs[i] : offs[i + 1]].tobytes()
-                    for s, e in reversed(own):
-                        t = t[: s - offs[i]] + mark.encode() + t[e - offs[i] :]
-                    changed[a + i] = t
+                    cuts = [offs[i], *(x for span in own for x in span), offs[i + 1]]
+                    changed[a + i] = mark.encode().join(buf[x:y].tobytes() for x, y in zip(cuts[::2], cuts[1::2]))
             if changed:
                 new = texts.to_pylist()
                 for i, t in changed.items():
