@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -57,11 +58,10 @@ def _place(spark: SparkSession, path: str):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the application ends, or earlier by ``release``."""
-    path = f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex}"
-    fs, p = _place(spark, path)
+    """A new full path in the shared folder; what is written there goes when the application ends, or earlier by ``release``."""
+    fs, p = _place(spark, f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex}")
     fs.deleteOnExit(p)
-    return path
+    return re.sub(r"^file:/+", "file:///", fs.makeQualified(p).toString())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
