@@ -11,7 +11,9 @@ own attempt; only manifests of finished tasks are read, so a lost executor or a
 Files go to the folder of ``spark.checkpoint.dir`` through pyarrow's file systems.
 
 Defined results: a null html is an empty payload; a null address becomes ``unknown:``, white space in addresses is
-percent-encoded; a null page id is kept as null and is the smallest; repeated rows are records of their own.
+percent-encoded; a null page id is kept as null and is the smallest; repeated rows are records of their own, and of
+equal largest page ids the last in path and place is the response; an empty table gives no archives and no rows; extra
+columns are ignored, whatever their names.  Payloads of any length are whole; a task holds one archive and one payload.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import partitions, shared_dir, stored
+from .runtime import partitions, scratch, stored
 
 ROLL = 8 << 20
 # The field lists of the two ARC versions
@@ -228,6 +230,7 @@ def convert(manifest: DataFrame, folder: str, *, revisit_from: int = 1000) -> Da
     records = stored(arc_records(manifest, folder), "arc-index")
     place = F.struct("page_id", "path", "at")
     first = records.where(F.col("payload_bytes") >= revisit_from).groupBy("payload_sha1", "payload_bytes").agg(F.max(place).alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    first = stored(first, "responses")  # written first, so that a frequent payload's records can be split in the join
     plan = records.select("path", "at", "page_id", "payload_sha1", "payload_bytes").join(first, ["payload_sha1", "payload_bytes"]).where(place != F.col("response"))
     plan = plan.select("path", "at", F.col("response.path").alias("to_path"), F.col("response.at").alias("to_at"), F.col("response.page_id").alias("to_id"))
     none = F.lit(None)
@@ -317,11 +320,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
 
 def archive_round_trip(pages: DataFrame, *, version: int = 1, revisit_from: int = 1000, **columns) -> DataFrame:
     """pages through ARC files into WARC files and back to rows."""
-    import uuid as _uuid
-
-    folder = f"{shared_dir(pages.sparkSession)}/docweave-archives-{_uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = "file://" + folder
+    folder = scratch(pages.sparkSession, "archives")
     fs, place = pafs.FileSystem.from_uri(folder)
     fs.create_dir(place)
     return read_warc(convert(write_arc(pages, folder, version=version, **columns), folder, revisit_from=revisit_from), folder)

@@ -9,7 +9,9 @@ Positions inside a bucket come from two levels of counting (cells of some hundre
 bucket is never in one task and only the last batch of each bucket can have room left.
 
 Defined results: null and empty texts have length 0 and are packed at length 0 into the first bucket; ties are ordered
-by hash, id and text hash; repeated rows are packed as often as they come; an empty table gives an empty result.
+by hash, id and text hash; repeated rows are packed as often as they come; an empty table gives an empty result; extra
+columns are ignored, whatever their names.  Above EXACT words boundaries may lie at bar tops only, so padding can be up to
+1/64 of a length above the least possible.
 """
 
 from __future__ import annotations

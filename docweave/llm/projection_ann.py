@@ -15,7 +15,8 @@ queries to norm M, which changes no order.  Memory: a task holds one shard (``SH
 
 Defined results: vectors that are null, zero, of a length other than the most frequent one, or hold null
 or non-finite components take no part, as query or as candidate; null ids neither; ties go to the smaller id; repeated
-ids are candidates of their own, but never of a query with the same id; fewer candidates than k are all returned.
+ids are candidates of their own, but never of a query with the same id; fewer candidates than k are all returned; an
+empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ sample of labelled texts, a few passes in a fixed order, with a learning rate pe
 leaves few weights (settings chosen by ``selection``); only those are broadcast (their number is at most the features of the sample).
 
 Defined results: null and empty texts score by the bias alone, 0.5 without any usable label; repeated rows get equal
-scores.  Whole texts are read.
+scores; ids with contradicting labels aren't learnt from, and of texts with one id the smallest is; an empty table gives
+an empty result, without labels learnt from every score is 0.5.  Extra columns stay; one named like the score is
+replaced.  Whole texts are read, one of any length at a time, with some 100 bytes of work space a word.
 """
 
 from __future__ import annotations
