@@ -473,6 +473,18 @@ def _detector(docs: DataFrame, findings: DataFrame | None, limit: int):
     return docs.sparkSession.sparkContext.broadcast(detector or _supplied())
 
 
+def labelled_findings(docs: DataFrame, judged: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Findings to learn from (before, candidate, after, label) for judged places (id, start, n_chars, label) of the texts.
+
+    These are rows of ``find_secrets`` with a label of 0 or 1; null labels and places outside of the text are left out.
+    """
+    at, n, t = F.col("start"), F.col("n_chars"), F.col(text_col)
+    places = judged.where("label in (0, 1) and start >= 0 and n_chars > 0").select(id_col, "start", "n_chars", F.col("label").cast("int").alias("label"))
+    joined = places.join(docs.select(id_col, text_col), id_col).where(at + n <= F.length(t))
+    before = F.substring(t, F.greatest(at - CONTEXT, F.lit(0)).cast("int") + 1, F.least(at, F.lit(CONTEXT)).cast("int"))
+    return joined.select(before.alias("before"), F.substring(t, (at + 1).cast("int"), n.cast("int")).alias("candidate"), F.substring(t, (at + n + 1).cast("int"), F.lit(8)).alias("after"), "label")
+
+
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", findings: DataFrame | None = None, limit: int = 20000, threshold: float = 0.5) -> DataFrame:
     """(id, start, n_chars, candidate_sha256, score, is_secret) for each candidate in the texts."""
     detector = _detector(docs, findings, limit)

@@ -346,6 +346,24 @@ def test_secrets(docs, none, spark):
     assert find_secrets(none).count() == 0 and redact_secrets(docs).count() == len(ROWS)
 
 
+def test_learning_from_labelled_findings(spark, sf_dir):
+    """Own tokens of a form that the supplied forest rejects, in documents of the table: learnt on one half, counted on the other."""
+    own = F.concat(F.lit("zz."), F.translate(F.substring(F.sha1(F.col("doc_id").cast("string")), 1, 9), "0123456789", "ghijklmnop"), F.lit(".zz"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 4000").select("doc_id", F.concat("text", F.lit(" ticket "), own, F.lit(" closed")).alias("text"), own.alias("own"), (F.length("text") + 8).alias("at"))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    candidates = find_secrets(docs.select("doc_id", "text"))
+    is_own = (F.col("start") < F.col("at") + F.length("own")) & (F.col("start") + F.col("n_chars") > F.col("at"))
+    judged = candidates.join(docs.select("doc_id", "own", "at"), "doc_id").select("doc_id", "start", "n_chars", is_own.cast("int").alias("label"), "is_secret")
+    assert judged.where("label = 1 and is_secret").count() == 0
+    findings = secret_scan.labelled_findings(docs, judged.where("doc_id % 2 = 0"))
+    row = findings.where("label = 1").first()
+    assert row["candidate"].startswith("zz.") and row["before"].endswith("ticket ") and row["after"].startswith(" closed")
+    held = find_secrets(docs.where("doc_id % 2 = 1").select("doc_id", "text"), findings=findings).where("is_secret")
+    hits = held.join(docs.select("doc_id", "own", "at"), "doc_id").select("doc_id", is_own.alias("ok")).collect()
+    asked = docs.where("doc_id % 2 = 1").count()
+    assert len({r["doc_id"] for r in hits if r["ok"]}) / asked > 0.97 and sum(r["ok"] for r in hits) / len(hits) > 0.97
+
+
 def test_secrets_short_punctuated_and_of_one_case(spark):
     whole = {
         1: ('he wrote password = "Xk9mQ2vLp" on the wall', "Xk9mQ2vLp"), 2: ("login with db_password: T7$kq!Zp2&w today", "T7$kq!Zp2&w"), 3: ('a seed = "JBSWYQDPEHPKXPXABCDWRTZQ" was made', "JBSWYQDPEHPKXPXABCDWRTZQ"),
