@@ -141,17 +141,16 @@ def _merge_lists(matches: int):
 
 
 def _candidates(classes: DataFrame, matches: int) -> DataFrame:
-    """Candidate links as pairs of ids."""
-    lists = classes.select("id", "sig", F.explode("posts").alias("k"))
+    """Candidate links as pairs of ids.  Signatures are brought only to the lists that are merged."""
+    signatures = classes.select("id", "sig")
+    lists = classes.select("id", F.explode("posts").alias("k"))
     found = []
     for first, width, bands in BANDS:
         # written first, so that a long list can be split over tasks in the join
         counts = stored(lists.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).where("m > 1"), "list-lengths")
         counted = lists.join(counts, "k")
-        short = counted.where(F.col("m") <= LIST)
-        found.append(
-            short.select("k", "id", "sig").repartition("k").sortWithinPartitions("k").mapInArrow(_merge_lists(matches), "a long, b long")
-        )
+        short = counted.where(F.col("m") <= LIST).select("k", "id").join(signatures, "id").select("k", "id", "sig")
+        found.append(short.repartition("k").sortWithinPartitions("k").mapInArrow(_merge_lists(matches), "a long, b long"))
         long = counted.where(F.col("m") > LIST)
         if not bands:
             found.append(long.select(F.col("hub").alias("a"), F.col("id").alias("b")))
@@ -159,8 +158,8 @@ def _candidates(classes: DataFrame, matches: int) -> DataFrame:
         if counts.where(F.col("m") > LIST).isEmpty():
             break
         keys = [F.xxhash64(F.lit(c), F.substring("sig", 2 * c + 1, 2 * width)) for c in range(first, first + bands * width, width)]
-        again = long.groupBy("id").agg(F.first("sig").alias("sig"))
-        lists = stored(again.select("id", "sig", F.explode(F.array(*keys)).alias("k")), "lists")
+        again = signatures.join(long.select("id").distinct(), "id", "left_semi")
+        lists = stored(again.select("id", F.explode(F.array(*keys)).alias("k")), "lists")
     return functools.reduce(DataFrame.union, found)
 
 
@@ -178,7 +177,8 @@ def _sets(width: int):
             batch = batch.filter(pa.array(new))
             for a, b, buf, offs in chunks(*text_buffer(batch.column("text"))):
                 sets = shingle_sets(buf, offs, width)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+                kept = [batch.column(c).slice(a, b - a) for c in ("id", "cluster", "size")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "cluster", "size", "set"])
 
     return run
 
@@ -233,15 +233,12 @@ def _grouped_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_confirm(keys, percent), "a long, b long")
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """True links inside clusters, as pairs of ids that connect what is connected; members (cluster, id), sets (id, set)."""
-    sized = stored(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cluster-sizes")
-    rows = members.join(sized, "cluster").join(sets, "id").select("cluster", "size", "id", "set")
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """True links inside clusters, as pairs of ids that connect what is connected, from rows (cluster, size, id, set)."""
     small = _grouped_links(rows.where(F.col("size") <= BLOCK).select("cluster", "id", "set"), ["cluster"], percent)
-    large = sized.where(F.col("size") > BLOCK)
-    if large.isEmpty():
+    rows = rows.where(F.col("size") > BLOCK)
+    if rows.isEmpty():
         return small
-    rows = stored(rows.where(F.col("size") > BLOCK), "large-clusters")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     # some LEADERS rows of each cluster, by hash, whatever its size
@@ -265,9 +262,15 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return small.union(first).union(second)
 
 
+def _sized(members: DataFrame) -> DataFrame:
+    """(cluster, id, size) of the clusters of more than one member."""
+    sizes = stored(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cluster-sizes")
+    return members.join(sizes, "cluster")
+
+
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(cluster, id): every class in the lists of its rarest shingles, one more than a linked class may lack."""
-    owned = stored(sets.mapInArrow(_explode_sets, "id long, n long, shingle long"), "shingles")
+    owned = stored(sets.select("id", "set").mapInArrow(_explode_sets, "id long, n long, shingle long"), "shingles")
     counts = owned.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("id").orderBy("df", "shingle")
     ranked = owned.join(stored(counts, "shingle-counts"), "shingle").withColumn("r", F.row_number().over(order))
@@ -296,13 +299,16 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     row = F.struct(F.col("id").isNull().alias("nameless"), F.coalesce("id", F.lit(LOWEST)).alias("k"), "h", "posts", "sig")
     classes = sound.groupBy("s1", "s2").agg(F.min(row).alias("c"), F.min("id").alias("least"))
     classes = stored(classes.select(F.col("s1").alias("id"), "s2", "c.k", "c.h", "c.posts", "c.sig", "least"), "classes")
-    members = classes.select("id") if exact else stored(components(_candidates(classes, matches)).select(F.col("node").alias("id"), F.col("root").alias("cluster")), "clusters")
-    wanted = classes.join(members.select("id"), "id", "left_semi").select("id", "k", "h")
-    texts = base.select("k", "h", "text").join(wanted, ["k", "h"]).sortWithinPartitions("k", "h", "id").select("id", "text")
-    sets = stored(texts.mapInArrow(_sets(width), "id long, set binary"), "sets")
     if exact:
-        members = _prefixes(sets, percent)
-    groups = components(_links(members, sets, percent))
+        wanted = classes.select("id", "k", "h", F.lit(0).cast("long").alias("cluster"), F.lit(0).cast("long").alias("size"))
+    else:
+        clusters = components(_candidates(classes, matches)).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+        wanted = _sized(stored(clusters, "clusters")).join(classes.select("id", "k", "h"), "id")
+    texts = base.select("k", "h", "text").join(wanted, ["k", "h"]).sortWithinPartitions("k", "h", "id").select("id", "cluster", "size", "text")
+    sets = stored(texts.mapInArrow(_sets(width), "id long, cluster long, size long, set binary"), "sets")
+    if exact:
+        sets = stored(_sized(_prefixes(sets, percent)).join(sets.select("id", "set"), "id"), "listed-sets")
+    groups = components(_links(sets, percent))
     named = classes.select("id", "s2", "least").join(groups, F.col("id") == F.col("node"), "left").select("id", "s2", "least", F.coalesce("root", "id").alias("root"))
     named = stored(named, "classes-by-group")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
