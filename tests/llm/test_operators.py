@@ -253,6 +253,26 @@ def test_fingerprints(docs, none):
     assert fingerprints(none).count() == 0
 
 
+def test_fingerprints_whole_table(spark, sf_dir):
+    """All columns of the registered query against plain ones."""
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in queries.op9_fingerprints(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(canonical(t), []).append(i)
+    prints = {}
+    for k, (i, t) in enumerate(rows):
+        after, r = rows[(k + 1) % len(rows)][1], got[i]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own = canonical(t)
+        assert (r["n_chars"], r["edited_sha256"], r["first_id"], r["n_equal"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), min(groups[own]), len(groups[own]))
+        assert (r["near_edited"], r["near_next"]) == (float(own == canonical(edited)), float(own == canonical(after)))
+        prints.setdefault(own, set()).add(r["fingerprint"])
+        prints.setdefault(canonical(edited), set()).add(r["edited_fingerprint"])
+    assert all(len(p) == 1 for p in prints.values()) and len({next(iter(p)) for p in prints.values()}) == len(prints)
+
+
 def test_bytes_decide_where_digests_clash(spark, tmp_path):
     """Runs with a digest of two values: equal texts still share fingerprints, different ones don't, edited texts included."""
     code = """
@@ -320,6 +340,26 @@ def test_packing(docs, none):
     assert pack(none).count() == 0
 
 
+def test_packing_whole_table(spark, sf_dir):
+    """The registered query against plain packing: lengths, the smallest bucket that holds each, and full batches but for the last."""
+    lengths = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op2_packing(spark, sf_dir).collect()
+    ends = sorted({r["padded_to"] for r in rows})
+    assert len(ends) <= 16 and ends[-1] == max(lengths.values()) and {r["doc_id"]: r["n_tokens"] for r in rows} == lengths
+    assert all(r["padded_to"] == next(e for e in ends if e >= r["n_tokens"]) for r in rows)
+    for end in ends:
+        places = sorted((r["batch"], r["slot"]) for r in rows if r["padded_to"] == end)
+        room = max(1, 8192 // max(end, 1))
+        assert places == [(k // room, k % room) for k in range(len(places))]
+    # least padding over all bars, by the plain recurrence
+    bars = sorted(lengths.values()) if max(lengths.values()) <= packing.EXACT else None
+    if bars:
+        best = {0: 0}
+        for _ in range(16):
+            best = {j: min(best[i] + sum(bars[j - 1] - n for n in bars[i:j]) for i in best if i <= j) for j in range(len(bars) + 1)}
+        assert sum(r["padded_to"] - r["n_tokens"] for r in rows) == best[len(bars)]
+
+
 def test_boundaries_are_optimal():
     lengths, counts = [1, 2, 5, 9, 10, 30], [5, 1, 4, 2, 8, 1]
 
@@ -561,6 +601,27 @@ def test_nearest(spark, sf_dir):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_nearest_whole_table(spark, sf_dir):
+    """The registered query against all inner products."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    rows = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    got = {}
+    for r in queries.op8_projection_ann(spark, sf_dir).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(ids[ids % 20 == 0].tolist())
+    hits = []
+    for q, found in got.items():
+        scores = x @ x[np.flatnonzero(ids == q)[0]]
+        scores[ids == q] = -np.inf
+        want = ids[np.lexsort((ids, -scores))[: min(20, len(ids) - 1)]].tolist()
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, len(want) + 1)) and [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
+        assert all(s == pytest.approx(scores[np.flatnonzero(ids == i)[0]], rel=1e-12, abs=1e-12) for _, i, s in found)
+        hits.append(len({i for _, i, _ in found} & set(want)) / len(want))
+    assert np.mean(hits) >= 0.9
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf_dir, name):
     con = duckdb.connect()
