@@ -3,12 +3,13 @@ import http.server
 import json
 import threading
 import zipfile
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from docweave import jobs
+from docweave import jobs, session
 from docweave.functions import text as T
 from docweave.operators import corpus, html_tree, knowledge, linearize, quantity, tokenize
 from docweave.plans import registry
@@ -308,3 +309,33 @@ def test_dimensions_reach_every_depth(spark):
     rows = [("q0", "L", [])] + [(f"q{i}", None, [f"q{i - 1}"]) for i in range(1, 150)] + [("a", None, ["b"]), ("b", None, ["a"]), ("c", None, ["gone"]), ("d", "T", ["a"]), ("e", None, ["d", "q0"])]
     got = knowledge.inherited(spark.createDataFrame(rows, "id string, dimension string, parents array<string>")).collect()
     assert {r["id"]: r["dimension"] for r in got} == knowledge.inherit_dimensions(rows) and len(got) == len(rows)
+
+
+def test_working_storage(spark):
+    kept = session.stored(spark.range(5), "five")
+    place = Path(kept._stored_at.removeprefix("file://"))
+    assert kept.count() == 5 and place.is_dir()
+    session.release(kept)
+    assert not place.exists()
+
+    class Unset:
+        conf = sparkContext = None
+
+        def __init__(self, master):
+            self.conf = self.sparkContext = self
+            self.master, self.kept = master, {}
+
+        def getConf(self):
+            return self
+
+        def get(self, name, default=None):
+            return self.kept.get(name, default)
+
+        def set(self, name, value):
+            self.kept[name] = value
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="share"):
+            session.shared_dir(Unset(master))
+    one = Unset("local[2]")
+    assert session.shared_dir(one) == session.shared_dir(one) and session.shared_dir(one).startswith("file:///")
