@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -327,9 +327,9 @@ def q_match_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_match_maybe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag, seq, maybe = patterns.tag, patterns.seq, patterns.maybe
     p = tag("mrow") / seq(tag("mi"), maybe(tag("mo") ** "mo"), maybe(tag("mtext") ** "none"), tag("mi") ** "rest")
-    m = patterns.match_nodes(_formulas(spark), p, "mrow", id_col="doc_id", xml=True).cache()
-    many = m.groupBy("doc_id", "root_path").agg(F.count(F.lit(1)).cast("int").alias("derivations"))
-    return m.join(many, ["doc_id", "root_path"]).select("doc_id", "match_no", "derivations", F.explode("labels").alias("l")).select("doc_id", "match_no", "derivations", "l.label").where("label <> 'root'")
+    m = patterns.match_nodes(_formulas(spark), p, "mrow", id_col="doc_id", xml=True)
+    m = m.withColumn("derivations", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "root_path")).cast("int"))
+    return m.select("doc_id", "match_no", "derivations", F.explode("labels").alias("l")).select("doc_id", "match_no", "derivations", "l.label").where("label <> 'root'")
 
 
 @query(f"SELECT page_id, 0 AS match_no, {UNESCAPED.replace('X', 'unnest(regexp_extract_all(html, ' + _AD + ', 1))')} AS text FROM pages")
