@@ -305,6 +305,19 @@ def test_query(spark, sf_dir, name):
         assert rows(got) == rows(want)
 
 
+CUT = "<html><head><title>{0}</title></head><body><!-- &amp --><h1>{0}</h1><p>a&amp;amp;b &amp</p><p>c &lt d</p></body></html>"
+CUT_QUERIES = ["q_annotate"]
+
+
+@pytest.mark.parametrize("name", CUT_QUERIES)
+def test_references_cut_before_a_tag(spark, tmp_path, name):
+    heads = ["x &amp;&amp", "x &lt; y &am", "&quot;x&quot; &copy;", "x&"]
+    spark.createDataFrame([(i, CUT.format(h)) for i, h in enumerate(heads)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(registry.ORACLES[name]).fetchall())
+
+
 def test_dimensions_reach_every_depth(spark):
     rows = [("q0", "L", [])] + [(f"q{i}", None, [f"q{i - 1}"]) for i in range(1, 150)] + [("a", None, ["b"]), ("b", None, ["a"]), ("c", None, ["gone"]), ("d", "T", ["a"]), ("e", None, ["d", "q0"])]
     got = knowledge.inherited(spark.createDataFrame(rows, "id string, dimension string, parents array<string>")).collect()

@@ -91,6 +91,16 @@ def test_recovery():
     assert serialize(parse_html(None)) == "<html/>"
 
 
+def test_references():
+    def text(markup, *more):
+        return Flat(parse_html(markup, *more), EMPTY_RULES).string
+
+    assert text("<p>&amp;lt; &amp</p><p>&#38 &#x26; &notit; &nosuch; &</p>") == "&lt; &amp& & &notit; &nosuch; &"
+    root = parse_html('<a&b href="?x=1&lt=2&amp;y"><!--&amp;--><script>a&amp;b</script>﷐</a&b>')
+    assert serialize(root) == '<html><body><a&b href="?x=1&amp;lt=2&amp;y"><!--&amp;--><script>a&amp;b</script>﷐</a&b></body></html>'
+    assert text("<p>&amp;&quot;&#38;</p>", frozenset({"amp"})) == "&&quot;&#38;"
+
+
 def test_patterns():
     m = parse_xml(SUM)
     inside = tag("math") / tag("semantics")
