@@ -306,7 +306,7 @@ def test_query(spark, sf_dir, name):
 
 
 CUT = "<html><head><title>{0}</title></head><body><!-- &amp --><h1>{0}</h1><p>a&amp;amp;b &amp</p><p>c &lt d</p></body></html>"
-CUT_QUERIES = ["q_annotate", "q_headers", "q_linearize_default"]
+CUT_QUERIES = ["q_annotate", "q_headers", "q_linearize_default", "q_linearize_empty"]
 
 
 @pytest.mark.parametrize("name", CUT_QUERIES)
