@@ -6,11 +6,10 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import text as T
 from .html_tree import HEADERS, Node, parse_html, per_document
@@ -126,28 +125,27 @@ def markup_words(docs: DataFrame, *, id_col: str = "page_id", markup_col: str =
     return per_document(docs, id_col, markup_col, rows, [pa.int32(), *_SPAN], "sent_no int, word_no int, string string, refs array<int>")
 
 
-def rule_tags(words: list[str]) -> list[str]:
-    """A stand-in for a trained tagger: marks, numbers, capitals and a few endings."""
-    out = []
-    for w in words:
-        if not any(c.isalnum() for c in w):
-            out.append("PUNCT")
-        elif w[0].isdigit():
-            out.append("NUM")
-        elif w.lower().endswith("ly"):
-            out.append("ADV")
-        elif w.lower().endswith(("ing", "ed")):
-            out.append("VERB")
-        else:
-            out.append("PROPN" if w[0].isupper() else "NOUN")
-    return out
+def rule_tags(words: Column) -> Column:
+    """A stand-in for a trained tagger, inside the JVM: marks, numbers, capitals and a few endings."""
+
+    def tag(w: Column) -> Column:
+        low = F.lower(w)
+        return (
+            F.when(~F.rlike(w, F.lit(r"[\p{L}\p{N}]")), "PUNCT").when(F.rlike(w, F.lit(r"^\p{Nd}")), "NUM")
+            .when(F.endswith(low, F.lit("ly")), "ADV").when(F.endswith(low, F.lit("ing")) | F.endswith(low, F.lit("ed")), "VERB")
+            .when(F.rlike(w, F.lit(r"^\p{Lu}")), "PROPN").otherwise("NOUN")
+        )
+
+    return F.transform(words, tag)
 
 
-def tag_words(c: Column, tagger: Callable[[list[str]], list[str]] = rule_tags) -> Column:
-    """Tags of a column of word lists, by any function from words to tags."""
+def tag_words(c: Column, tagger: Callable[[list[str]], list[str]] | None = None) -> Column:
+    """Tags of a column of word lists, by any function from words to tags, or by rules."""
+    if tagger is None:
+        return rule_tags(c)
 
-    @pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda words: tagger(list(words)) if words is not None else None)
+    @arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array((tagger(words.as_py()) if words.is_valid else None for words in lists), pa.list_(pa.string()))
 
     return run(c)

@@ -40,6 +40,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """These columns of the rows, dealt over all tasks by their hash.
+
+    A row group can't be split and a table may be a single one, so work on texts right behind a scan may be all one task's.
+    The number of tasks is fixed, as sizes after compression say little about the work.  A stream writes a file a task, so
+    it gets two a core.
+    """
+    keys, spark = columns or rows.columns, rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    count = 2 * cores if rows.isStreaming else max(3 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select(*keys).repartition(count, *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session.  Where it is unset, a folder of our own on one machine, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

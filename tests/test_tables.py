@@ -6,6 +6,7 @@ import zipfile
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +319,31 @@ def test_references_cut_before_a_tag(spark, tmp_path, name):
     assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(registry.ORACLES[name]).fetchall())
 
 
+@pytest.fixture(scope="module")
+def one_group(spark, tmp_path_factory):
+    """Documents in a single row group."""
+    root = tmp_path_factory.mktemp("group")
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("It really 3 Was  - mixed up, "), F.repeat(F.lit("ábcd "), 500), F.lit("ed.")).alias("text"))
+    rows.coalesce(1).write.parquet(str(root / "documents.parquet"))
+    return str(root)
+
+
+def test_every_character_is_space_or_word_as_in_python(spark):
+    chars = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    got = spark.createDataFrame([(c, f"{c}a{c}") for c in chars], "c string, s string").select("c", T.strip(F.col("s")).alias("s"), T.words(F.col("s")).alias("w"), T.normalize_spaces(F.concat("s", "c")).alias("n")).collect()
+    assert len(got) == len(chars)
+    for c, s, w, n in got:
+        assert s == f"{c}a{c}".strip() and w == tokenize._word.findall(f"{c}a{c}") and n == (" a " if c.isspace() else f"{c}a{c}{c}")
+
+
+def test_tags_by_rules_stay_in_the_jvm(spark, one_group):
+    tags = registry.q_tagged_words(spark, one_group)
+    assert "EvalPython" not in tags._jdf.queryExecution().toString() and tags.select(F.spark_partition_id()).distinct().count() > 1
+    assert {r["tags"] for r in tags.collect()} == {"PROPN ADV NUM PROPN PUNCT VERB NOUN PUNCT " + "NOUN " * 500 + "VERB PUNCT"}
+    words = spark.createDataFrame([(["²", "Ⅳ", "É", "ÉD", "_", "٣x"],)], "w array<string>")
+    assert words.select(tokenize.tag_words(F.col("w"))).first()[0] == ["NOUN", "NOUN", "PROPN", "PROPN", "PUNCT", "NUM"]
+
+
 def test_dimensions_reach_every_depth(spark):
     rows = [("q0", "L", [])] + [(f"q{i}", None, [f"q{i - 1}"]) for i in range(1, 150)] + [("a", None, ["b"]), ("b", None, ["a"]), ("c", None, ["gone"]), ("d", "T", ["a"]), ("e", None, ["d", "q0"])]
     got = knowledge.inherited(spark.createDataFrame(rows, "id string, dimension string, parents array<string>")).collect()
