@@ -319,6 +319,23 @@ def test_references_cut_before_a_tag(spark, tmp_path, name):
     assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(registry.ORACLES[name]).fetchall())
 
 
+def test_batches_that_leave_python_are_bounded():
+    class Docs:
+        schema = {"page_id": type("field", (), {"dataType": type("kind", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    long, plain = "<p>" + "One. " * 9000 + "</p>", "<p>" + "a" * (html_tree.OUT_CHARS // 2) + ".</p>"
+    run = tokenize.markup_sentences(Docs())
+    sizes = [b.num_rows for b in run([pa.record_batch({"page_id": [1, 2, 3, 4, 5], "html": [long, plain, plain, plain, plain]})])]
+    # four whole sentences that hold more characters than a batch takes aren't kept together either
+    assert sum(sizes) == 9000 + 4 and max(sizes) <= html_tree.OUT_ROWS and sizes[-1] < 4
+
+
 @pytest.fixture(scope="module")
 def one_group(spark, tmp_path_factory):
     """Documents in a single row group."""
