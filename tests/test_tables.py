@@ -345,6 +345,12 @@ def one_group(spark, tmp_path_factory):
     return str(root)
 
 
+def test_words_of_one_row_group_are_counted_by_many_tasks(spark, one_group):
+    counts = registry.q_word_counts(spark, one_group)
+    assert {r["n_words"] for r in counts.collect()} == {510}
+    assert counts.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_every_character_is_space_or_word_as_in_python(spark):
     chars = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
     got = spark.createDataFrame([(c, f"{c}a{c}") for c in chars], "c string, s string").select("c", T.strip(F.col("s")).alias("s"), T.words(F.col("s")).alias("w"), T.normalize_spaces(F.concat("s", "c")).alias("n")).collect()
