@@ -103,11 +103,11 @@ def split_words(p: Piece) -> list[Piece]:
 _SPAN = [pa.int32(), pa.string(), pa.list_(pa.int32())]
 
 
-def markup_sentences(docs: DataFrame, *, id_col: str = "page_id", markup_col: str = "html", rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """(id, sent_no, string, refs) of marked-up documents."""
+def markup_sentences(docs: DataFrame, *, id_col: str = "page_id", markup_col: str = "html", rules: Rules = DEFAULT_RULES, references: frozenset[str] | None = None) -> DataFrame:
+    """(id, sent_no, string, refs) of marked-up documents.  For ``references`` see ``parse_html``."""
 
     def rows(markup):
-        flat = Flat(parse_html(markup), rules)
+        flat = Flat(parse_html(markup, references), rules)
         return ((k, s.string, s.refs) for k, s in enumerate(split_sentences(flat, Piece.whole(flat))))
 
     return per_document(docs, id_col, markup_col, rows, _SPAN, "sent_no int, string string, refs array<int>")

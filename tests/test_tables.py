@@ -319,6 +319,19 @@ def test_references_cut_before_a_tag(spark, tmp_path, name):
     assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(registry.ORACLES[name]).fetchall())
 
 
+# the references in SQL cut before their semicolon, others whole and cut, and a page without markup
+OTHERS = ["it&#x27;s &#x27", "&#x2", "caf&eacute; &nbsp;&#39;x&#39 &#X27;", None]
+
+
+@pytest.mark.parametrize("name", ["q_annotate", "q_linearize_default", "q_markup_sentences"])
+def test_references_that_sql_does_not_read(spark, tmp_path, name):
+    spark.createDataFrame([(i, h and CUT.format(h)) for i, h in enumerate(OTHERS)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLES[name]).fetchall())
+    assert want and sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == want
+
+
 def test_batches_that_leave_python_are_bounded():
     class Docs:
         schema = {"page_id": type("field", (), {"dataType": type("kind", (), {"simpleString": staticmethod(lambda: "bigint")})})}
