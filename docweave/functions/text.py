@@ -17,7 +17,9 @@ DIMENSIONS = ("T", "L", "M", "I", "Θ", "N", "J")
 _NO_WS = r"[^\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0]&&[^\u1680]&&[^\u2000-\u200a]&&[^\u2028-\u2029]&&[^\u202f]&&[^\u205f]&&[^\u3000]"
 _NO_MARK = r"[^.,:;!?)(\[\]{}\-]&&[^\u201c-\u201d]"
 SPACE = rf"[^[{_NO_WS}]]"
-WORD = rf"[{_NO_WS}&&{_NO_MARK}]++|[^[{_NO_MARK}]]"
+# Characters of words below 256, listed one by one: Java looks them up in a table, while the rest asks each part in turn
+_LATIN = "".join(f"\\x{c:02x}" for c in range(256) if chr(c) not in " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0.,:;!?)([]{}-")
+WORD = rf"[{_LATIN}]++[{_NO_WS}&&{_NO_MARK}]*+|[{_NO_WS}&&{_NO_MARK}]++|[^[{_NO_MARK}]]"
 #: zero-width ends of sentences: a full stop unless a small letter, a digit between digits, a no-break space or , . : ; follows
 SENTENCE_END = r"(?<=\.)(?![\p{IsLowercase}\xa0,.:;])(?!(?<=\p{Nd}\.)\p{Nd})|(?<=[!?])(?![\xa0,.:;])"
 

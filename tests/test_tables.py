@@ -2,6 +2,7 @@ import gzip
 import http.server
 import json
 import threading
+import time
 import zipfile
 from pathlib import Path
 
@@ -372,6 +373,26 @@ def test_every_character_is_space_or_word_as_in_python(spark):
         assert s == f"{c}a{c}".strip() and w == tokenize._word.findall(f"{c}a{c}") and n == (" a " if c.isspace() else f"{c}a{c}{c}")
 
 
+def test_latin_letters_of_words_are_looked_up(spark):
+    """Long words of Latin letters take less time than by the parts of the class alone, and mixed ones are the same words."""
+    words = ["añb", "Жa", "жжé", "xЖy", "é", "a\u0300", "z"]
+    mixed = "  ".join(words) + "-" + "ñЖ" * 5000
+    got = spark.createDataFrame([(mixed,)], "s string").select(T.words(F.col("s")).alias("w"), F.regexp_count("s", F.lit(T.WORD)).alias("n")).first()
+    assert got["w"] == [*words, "-", "ñЖ" * 5000] and got["n"] == len(got["w"])
+    java, text = spark._jvm.java, spark._jvm.java.lang.StringBuilder("abcdé" * 400_000)
+
+    def seconds(pattern):
+        found, best = java.util.regex.Pattern.compile(pattern), 1e9
+        for _ in range(8):
+            matcher, began = found.matcher(text), time.perf_counter()
+            assert matcher.find()
+            best = min(best, time.perf_counter() - began)
+            assert matcher.end() == text.length()
+        return best
+
+    assert seconds(T.WORD) < 0.7 * seconds(rf"[{T._NO_WS}&&{T._NO_MARK}]++")
+
+
 def test_a_stream_of_one_row_group_is_counted_by_many_tasks(spark, one_group):
     counts = registry.q_stream_word_counts(spark, one_group)
     assert {r["n_words"] for r in counts.collect()} == {510}
